@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessara.llm import bpe, canonical, packing
+from tessara.llm import bpe, canonical, packing, quality
 from tessara.sources.tables import table
 
 # ---------------------------------------------------------------- p2: visually identical text
@@ -45,5 +45,18 @@ def p9_containers(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(bpe.encode(documents, counts=True), documents.count())
 
 
-QUERIES = {"p2_found": p2_found, "p2_canonical": p2_canonical, "p8_ids": p8_ids, "p9_containers": p9_containers}
+# ---------------------------------------------------------------- p10: text quality
+
+
+def p10_statistics(spark: SparkSession, root: str) -> DataFrame:
+    """Statistics, z-scores and verdict of every document."""
+    return quality.score(table(spark, root, "documents", "doc_id", "text", "lang"))
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents that are for the most part a list, a table or junk."""
+    return p10_statistics(spark, root).where(~F.col("prose")).select("doc_id")
+
+
+QUERIES = {"p2_found": p2_found, "p2_canonical": p2_canonical, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_statistics": p10_statistics}
 SQL: dict[str, str] = {}
