@@ -72,7 +72,8 @@ def add_instant(frame: DataFrame, text: str, zone: str, date_order: str, out: st
     """
     raw = F.regexp_replace(F.col(text), F.lit(pattern(prefix)), F.lit(_replacement()))
     parts = F.when(raw.startswith(_MARK), F.split(raw, _MARK))
-    step = frame.withColumn("__x", parts)
+    # A generator is a border that the optimizer neither collapses nor pushes a filter through: one match for each text.
+    step = frame.select("*", F.explode(F.array(parts)).alias("__x"))
     at = {part: F.nullif(F.get("__x", F.lit(k + 1)), F.lit("")) for k, part in enumerate(_PARTS)}
     number = lambda part: at[part].try_cast("long")
     month_first = F.col(date_order) == "mdy"
@@ -86,7 +87,8 @@ def add_instant(frame: DataFrame, text: str, zone: str, date_order: str, out: st
     digits = F.regexp_replace(at["o"], "[^0-9]", "")
     names = F.create_map(*[F.lit(x) for name, n in ZONE_MINUTES.items() for x in (name, n)])
     offset = F.when(F.length(digits) == 4, sign * (F.substring(digits, 1, 2).try_cast("long") * 60 + F.substring(digits, 3, 2).try_cast("long"))).otherwise(F.try_element_at(names, F.upper(at["o"])).cast("long"))
-    step = step.withColumns({"__y": year, "__m": month, "__d": day, "__h": hour, "__i": number("i"), "__s": F.coalesce(number("s"), F.lit(0).cast("long")), "__o": offset, "__named": at["o"].isNotNull(), "__e": at["e"]})
+    fields = {"y": year, "m": month, "d": day, "h": hour, "i": number("i"), "s": F.coalesce(number("s"), F.lit(0).cast("long")), "o": offset, "named": at["o"].isNotNull(), "e": at["e"]}
+    step = step.select("*", F.inline(F.array(F.struct(*[c.alias(f"__{n}") for n, c in fields.items()]))))
     y, m, d, h, i, s = (F.col(f"__{c}") for c in "ymdhis")
     real = y.between(1, 9999) & m.between(1, 12) & (d >= 1) & (d <= month_days(y, m)) & h.between(0, 23) & i.between(0, 59) & s.between(0, 59)
     local = days_from_civil(y, m, d) * 86400 + h * 3600 + i * 60 + s
@@ -94,4 +96,4 @@ def add_instant(frame: DataFrame, text: str, zone: str, date_order: str, out: st
     epoch = F.when(F.length("__e") == 13, F.floor(F.col("__e").try_cast("long") / 1000)).otherwise(F.col("__e").try_cast("long"))
     zoned = F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds("__local"), F.col(zone)))
     instant = F.when(F.col("__e").isNotNull(), epoch).when(F.col("__named"), F.col("__local") - F.col("__o") * 60).when(F.col("__local").isNotNull() & F.col(zone).isNotNull(), zoned)
-    return step.withColumn(out, instant.cast("long")).drop("__x", "__y", "__m", "__d", "__h", "__i", "__s", "__o", "__named", "__e", "__local")
+    return step.select("*", F.explode(F.array(instant.cast("long"))).alias(out)).drop("__x", "__y", "__m", "__d", "__h", "__i", "__s", "__o", "__named", "__e", "__local")
