@@ -76,7 +76,7 @@ def pack(items: DataFrame, n_rows: int, key: str = "doc_id", size: str = "n_toke
     groups = max(1, -(-n_rows // group))
     rows = items.select(F.col(key), F.col(size).cast("long").alias("__n")).where(F.col("__n") > 0).withColumn("__g", F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(11)), F.lit(groups)))
 
-    def run(keys, table: pa.Table) -> pa.Table:  # noqa: ANN001
+    def run(keys, table):  # noqa: ANN001, ANN202
         number = keys[0].as_py()
         table = table.sort_by([("__n", "descending"), (key, "ascending")])
         ids, sizes = table.column(key).to_pylist(), table.column("__n").to_pylist()

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessara.llm import bpe, canonical, packing, quality
+from tessara.llm import bpe, canonical, matching, packing, quality
 from tessara.sources.tables import table
 
 # ---------------------------------------------------------------- p2: visually identical text
@@ -31,6 +31,92 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return canonical.canonicalize(_names(spark, root), "name", changed_only=True).select("source_table", "row_id")
 
 
+# ---------------------------------------------------------------- p3: matching entities without keys
+
+SOURCES = ("understat", "fbref")
+
+
+def club_key(club: Column) -> Column:
+    """The first word of a club's name, without accents; abbreviations of the rest and club forms don't matter."""
+    return F.nullif(F.split(F.regexp_replace(matching.folded(club), r"^(?:afc|fc) ", ""), " ")[0], F.lit(""))
+
+
+def fixtures(spark: SparkSession, root: str) -> DataFrame:
+    """(fixture_id, home, away, day): club keys and day of each fixture; a side's opponent is stamped right on every row."""
+    days = table(spark, root, "model_ready_dataset", "fixture_id", "match_date").groupBy("fixture_id").agg(F.max("match_date").alias("day"))
+    rows = table(spark, root, "fpl_clean_dataset", "fixture_id", "was_home", "opponent_team")
+    sides = rows.groupBy("fixture_id").agg(F.max(F.when(~F.col("was_home"), F.col("opponent_team"))).alias("home"), F.max(F.when(F.col("was_home"), F.col("opponent_team"))).alias("away"))
+    return sides.join(days, "fixture_id").select("fixture_id", club_key(F.col("home")).alias("home"), club_key(F.col("away")).alias("away"), "day").where("home is not null and away is not null")
+
+
+def player_appearances(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of the game with minutes; of several reports the one ingested last."""
+    rows = table(spark, root, "fpl_clean_dataset", "row_id", "player_id", "full_name", "fixture_id", "was_home", "minutes", "goals", "assists", "yellow_cards", "ingested_at")
+    value = F.struct("full_name", "was_home", "minutes", "goals", "assists", "yellow_cards")
+    last = rows.groupBy("player_id", "fixture_id").agg(F.max_by(value, F.struct("ingested_at", "row_id")).alias("x"))
+    return last.select("player_id", "x.full_name", F.concat_ws("/", "fixture_id", F.col("x.was_home")).alias("event"), "x.minutes", "x.goals", "x.assists", "x.yellow_cards").where("minutes > 0")
+
+
+#: A foreign source's day is local, and a few matches were moved.
+MOST_DAYS = 6
+
+
+def iso_day(text: Column) -> Column:
+    """The day of a text with an ISO date; other forms give none (of a match's many rows most have one)."""
+    return F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2})", 1).try_cast("date")
+
+
+def _with_fixture(rows: DataFrame, games: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` (game, side_home, ...) with the event of their game: of its clubs' fixtures the nearest in time."""
+    near = games.join(known.withColumnRenamed("day", "__day"), ["home", "away"]).withColumn("__gap", F.abs(F.datediff("day", "__day")))
+    mapped = near.where(F.col("__gap") <= MOST_DAYS).groupBy("game").agg(F.min_by("fixture_id", F.struct("__gap", "fixture_id")).alias("fixture_id"))
+    return rows.join(mapped, "game").withColumn("event", F.concat_ws("/", "fixture_id", "side_home"))
+
+
+def understat_appearances(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "understat_player_match_stats", "understat_player_id", "player_name", "team", "understat_match_id", "date", "side", "minutes", "goals", "assists")
+    rows = rows.select(F.col("understat_player_id").alias("id"), F.col("player_name").alias("name"), F.col("understat_match_id").alias("game"), (F.col("side") == "h").alias("side_home"), club_key(F.col("team")).alias("club"), F.col("team").contains(",").alias("two"), iso_day(F.col("date")).alias("day"), "minutes", "goals", "assists")
+    # the club of a side is the one most of its players have; a transferred player's row names two
+    single = lambda home: F.when((F.col("side_home") == F.lit(home)) & ~F.col("two"), F.col("club"))
+    games = rows.groupBy("game").agg(F.mode(single(True), True).alias("home"), F.mode(single(False), True).alias("away"), F.mode("day", True).alias("day"))
+    return _with_fixture(rows.drop("club", "two", "day"), games, fixtures(spark, root))
+
+
+def fbref_appearances(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "fbref_player_match_summary", "fbref_id", "player", "game_id", "game", "team", "min", "Performance_Gls", "Performance_CrdY")
+    title = F.regexp_replace(F.regexp_extract("game", r"([^0-9]*)$", 1), r"^(?:\s*\[[^\]]*\]|Z|\s*[AP]M(?=\s)|\s*(?:GMT|UTC|BST|WES?T|CES?T|E[SD]T|C[SD]T|BRT|IST|AE[SD]T)(?=\s))?\s*", "")
+    clubs = F.split(title, r"\s+v\s+|\s*[–—-]\s*")
+    rows = rows.select(
+        F.col("fbref_id").alias("id"), F.col("player").alias("name"), F.col("game_id").alias("game"), club_key(F.col("team")).alias("club"),
+        club_key(F.get(clubs, F.lit(0))).alias("home"), club_key(F.get(clubs, F.lit(1))).alias("away"), F.col("min").alias("minutes"), F.col("Performance_Gls").alias("goals"), F.col("Performance_CrdY").alias("yellow_cards"), iso_day(F.col("game")).alias("day"),
+    )
+    rows = rows.withColumn("side_home", F.when(F.col("club") == F.col("home"), True).when(F.col("club") == F.col("away"), False))
+    games = rows.groupBy("game").agg(F.mode("home", True).alias("home"), F.mode("away", True).alias("away"), F.mode("day", True).alias("day"))
+    return _with_fixture(rows.where("side_home is not null").drop("club", "home", "away", "day"), games, fixtures(spark, root))
+
+
+def p3_matches(spark: SparkSession, root: str) -> DataFrame:
+    """Matched pairs of players and foreign persons with their probability."""
+    seen = player_appearances(spark, root)
+    hints = table(spark, root, "entity_matching_table", "player_id", "understat_name", "needs_review_understat", "fbref_name", "needs_review_fbref")
+    details = {"understat": {"g": "goals", "a": "assists"}, "fbref": {"g": "goals", "y": "yellow_cards"}}
+    people = {"understat": understat_appearances(spark, root), "fbref": fbref_appearances(spark, root)}
+    out = None
+    for source in SOURCES:
+        left = matching.profiles(seen, "player_id", "full_name", "event", ["minutes"], details[source])
+        right = matching.profiles(people[source], "id", "name", "event", ["minutes"], details[source])
+        sure = hints.where(F.col(f"{source}_name").isNotNull() & ~F.col(f"needs_review_{source}")).select(F.col("player_id").cast("string").alias("left_id"), F.col(f"{source}_name").alias("hinted"))
+        pairs = matching.match(left, right, sure)
+        one = pairs.select(F.col("left_id").cast("long").alias("player_id"), F.lit(source).alias("source"), F.col("right_id").alias("source_id"), "probability")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of a player and a person that are the same human being."""
+    return p3_matches(spark, root).select("player_id", "source", "source_id")
+
+
 # ---------------------------------------------------------------- p8 and p9: tokens and containers
 
 
@@ -58,5 +144,5 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return p10_statistics(spark, root).where(~F.col("prose")).select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_canonical": p2_canonical, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_statistics": p10_statistics}
+QUERIES = {"p2_found": p2_found, "p2_canonical": p2_canonical, "p3_found": p3_found, "p3_matches": p3_matches, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_statistics": p10_statistics}
 SQL: dict[str, str] = {}
