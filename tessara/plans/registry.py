@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessara.plans import problems
+from tessara.plans import forms, problems, relations
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**forms.QUERIES, **relations.QUERIES, **problems.QUERIES}
+SQL = {**forms.SQL, **relations.SQL, **problems.SQL}
