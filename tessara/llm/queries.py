@@ -33,8 +33,6 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
 
 # ---------------------------------------------------------------- p3: matching entities without keys
 
-SOURCES = ("understat", "fbref")
-
 
 def club_key(club: Column) -> Column:
     """The first word of a club's name, without accents; abbreviations of the rest and club forms don't matter."""
@@ -66,45 +64,47 @@ def iso_day(text: Column) -> Column:
     return F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2})", 1).try_cast("date")
 
 
-def _with_fixture(rows: DataFrame, games: DataFrame, known: DataFrame) -> DataFrame:
-    """``rows`` (game, side_home, ...) with the event of their game: of its clubs' fixtures the nearest in time."""
+def _with_fixture(games: DataFrame, known: DataFrame) -> DataFrame:
+    """(game, home, away, fixture_id): of the fixtures of a game's clubs the nearest in time."""
     near = games.join(known.withColumnRenamed("day", "__day"), ["home", "away"]).withColumn("__gap", F.abs(F.datediff("day", "__day")))
-    mapped = near.where(F.col("__gap") <= MOST_DAYS).groupBy("game").agg(F.min_by("fixture_id", F.struct("__gap", "fixture_id")).alias("fixture_id"))
-    return rows.join(mapped, "game").withColumn("event", F.concat_ws("/", "fixture_id", "side_home"))
+    return near.where(F.col("__gap") <= MOST_DAYS).groupBy("game").agg(F.min_by("fixture_id", F.struct("__gap", "fixture_id")).alias("fixture_id"), F.max("home").alias("home"), F.max("away").alias("away"))
 
 
 def understat_appearances(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "understat_player_match_stats", "understat_player_id", "player_name", "team", "understat_match_id", "date", "side", "minutes", "goals", "assists")
-    rows = rows.select(F.col("understat_player_id").alias("id"), F.col("player_name").alias("name"), F.col("understat_match_id").alias("game"), (F.col("side") == "h").alias("side_home"), club_key(F.col("team")).alias("club"), F.col("team").contains(",").alias("two"), iso_day(F.col("date")).alias("day"), "minutes", "goals", "assists")
+    rows = rows.withColumnsRenamed({"understat_player_id": "id", "player_name": "name", "understat_match_id": "game"})
     # the club of a side is the one most of its players have; a transferred player's row names two
-    single = lambda home: F.when((F.col("side_home") == F.lit(home)) & ~F.col("two"), F.col("club"))
-    games = rows.groupBy("game").agg(F.mode(single(True), True).alias("home"), F.mode(single(False), True).alias("away"), F.mode("day", True).alias("day"))
-    return _with_fixture(rows.drop("club", "two", "day"), games, fixtures(spark, root))
+    home, single = F.col("side") == "h", ~F.col("team").contains(",")
+    games = rows.groupBy("game").agg(F.mode(F.when(home & single, F.col("team")), True).alias("h"), F.mode(F.when(~home & single, F.col("team")), True).alias("a"), F.mode(iso_day(F.col("date")), True).alias("day"))
+    games = games.select("game", club_key(F.col("h")).alias("home"), club_key(F.col("a")).alias("away"), "day")
+    mapped = _with_fixture(games, fixtures(spark, root)).select("game", "fixture_id")
+    return rows.select("id", "name", "game", home.alias("side_home"), "minutes", "goals", "assists").join(mapped, "game").withColumn("event", F.concat_ws("/", "fixture_id", "side_home"))
 
 
 def fbref_appearances(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "fbref_player_match_summary", "fbref_id", "player", "game_id", "game", "team", "min", "Performance_Gls", "Performance_CrdY")
-    title = F.regexp_replace(F.regexp_extract("game", r"([^0-9]*)$", 1), r"^(?:\s*\[[^\]]*\]|Z|\s*[AP]M(?=\s)|\s*(?:GMT|UTC|BST|WES?T|CES?T|E[SD]T|C[SD]T|BRT|IST|AE[SD]T)(?=\s))?\s*", "")
-    clubs = F.split(title, r"\s+v\s+|\s*[–—-]\s*")
-    rows = rows.select(
-        F.col("fbref_id").alias("id"), F.col("player").alias("name"), F.col("game_id").alias("game"), club_key(F.col("team")).alias("club"),
-        club_key(F.get(clubs, F.lit(0))).alias("home"), club_key(F.get(clubs, F.lit(1))).alias("away"), F.col("min").alias("minutes"), F.col("Performance_Gls").alias("goals"), F.col("Performance_CrdY").alias("yellow_cards"), iso_day(F.col("game")).alias("day"),
-    )
-    rows = rows.withColumn("side_home", F.when(F.col("club") == F.col("home"), True).when(F.col("club") == F.col("away"), False))
-    games = rows.groupBy("game").agg(F.mode("home", True).alias("home"), F.mode("away", True).alias("away"), F.mode("day", True).alias("day"))
-    return _with_fixture(rows.where("side_home is not null").drop("club", "home", "away", "day"), games, fixtures(spark, root))
+    # a game's rows have few different texts, which are counted before they are taken apart
+    texts = rows.groupBy(F.col("game_id").alias("id"), "game").agg(F.count("*").alias("n"))
+    tail = F.element_at(F.split("game", "[0-9]"), -1)
+    title = F.regexp_replace(tail, r"^(?:\s*\[[^\]]*\]|Z|\s*[AP]M(?=\s)|\s*(?:GMT|UTC|BST|WES?T|CES?T|E[SD]T|C[SD]T|BRT|IST|AE[SD]T)(?=\s))?\s*", "")
+    cut = texts.select("id", "n", iso_day(F.col("game")).alias("day"), F.explode(F.array(F.split(title, r"\s+v\s+|\s*[–—-]\s*"))).alias("clubs"))
+    most = lambda c: F.max_by(c, F.struct(F.col("n"), c))
+    games = cut.groupBy("id", "clubs", "day").agg(F.sum("n").alias("n")).groupBy("id").agg(most(F.col("clubs")).alias("clubs"), F.max_by("day", F.when(F.col("day").isNotNull(), F.struct("n", "day"))).alias("day"))
+    games = games.select(F.col("id").alias("game"), club_key(F.get("clubs", F.lit(0))).alias("home"), club_key(F.get("clubs", F.lit(1))).alias("away"), "day")
+    one = rows.select(F.col("fbref_id").alias("id"), F.col("player").alias("name"), F.col("game_id").alias("game"), "team", F.col("min").alias("minutes"), F.col("Performance_Gls").alias("goals"), F.col("Performance_CrdY").alias("yellow_cards"))
+    both = one.join(_with_fixture(games, fixtures(spark, root)), "game").select("*", F.explode(F.array(club_key(F.col("team")))).alias("club"))
+    side = F.when(F.col("club") == F.col("home"), True).when(F.col("club") == F.col("away"), False)
+    return both.withColumn("event", F.when(side.isNotNull(), F.concat_ws("/", "fixture_id", side))).drop("home", "away", "club", "team")
 
 
 def p3_matches(spark: SparkSession, root: str) -> DataFrame:
     """Matched pairs of players and foreign persons with their probability."""
-    seen = player_appearances(spark, root)
     hints = table(spark, root, "entity_matching_table", "player_id", "understat_name", "needs_review_understat", "fbref_name", "needs_review_fbref")
-    details = {"understat": {"g": "goals", "a": "assists"}, "fbref": {"g": "goals", "y": "yellow_cards"}}
-    people = {"understat": understat_appearances(spark, root), "fbref": fbref_appearances(spark, root)}
+    left = matching.profiles(player_appearances(spark, root), "player_id", "full_name", "event", ["minutes"], ["goals", "assists", "yellow_cards"])
+    people = {"understat": (understat_appearances(spark, root), ["goals", "assists"]), "fbref": (fbref_appearances(spark, root), ["goals", "yellow_cards"])}
     out = None
-    for source in SOURCES:
-        left = matching.profiles(seen, "player_id", "full_name", "event", ["minutes"], details[source])
-        right = matching.profiles(people[source], "id", "name", "event", ["minutes"], details[source])
+    for source, (seen, details) in people.items():
+        right = matching.profiles(seen, "id", "name", "event", ["minutes"], details)
         sure = hints.where(F.col(f"{source}_name").isNotNull() & ~F.col(f"needs_review_{source}")).select(F.col("player_id").cast("string").alias("left_id"), F.col(f"{source}_name").alias("hinted"))
         pairs = matching.match(left, right, sure)
         one = pairs.select(F.col("left_id").cast("long").alias("player_id"), F.lit(source).alias("source"), F.col("right_id").alias("source_id"), "probability")
