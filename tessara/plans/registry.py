@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessara.plans import forms, problems, relations, summaries
+from tessara.plans import forms, learned, problems, relations, summaries
 
-QUERIES = {**forms.QUERIES, **relations.QUERIES, **summaries.QUERIES, **problems.QUERIES}
-SQL = {**forms.SQL, **relations.SQL, **summaries.SQL, **problems.SQL}
+QUERIES = {**forms.QUERIES, **relations.QUERIES, **summaries.QUERIES, **learned.QUERIES, **problems.QUERIES}
+SQL = {**forms.SQL, **relations.SQL, **summaries.SQL, **learned.SQL, **problems.SQL}
