@@ -92,18 +92,15 @@ def known_versions(snapshots: DataFrame, entity: str, period: str, recorded: str
     return visible.groupBy(entity).agg(ordered.alias("__all")).select(entity, F.aggregate("__all", start, step, lambda s: s["kept"]).alias("versions"))
 
 
-def value_at(versions: Column, period: Column) -> Column:
-    """The value of the last version that begins not after ``period``; null before the first."""
-    return F.element_at(F.filter(versions, lambda x: x["from"] <= period), -1)["value"]
-
-
 def as_known(events: DataFrame, entity: str, period: str, histories: dict[str, DataFrame]) -> DataFrame:
     """``events`` with a column for each attribute in ``histories``: its value as known at the event's period.
 
     Each attribute has its own change history (``known_versions``) and its own last-known match; the attributes are put
     back side by side as columns. Histories are joined on the entity: they have one short row each, while a hot entity's
-    events are split by AQE's skew join. An event without entity, period or earlier value gets null.
+    events are split by AQE's skew join. An event without entity, period or earlier value gets null. Other columns stay,
+    whatever their names; columns named ``known_<attribute>`` are replaced.
     """
+    events = events.drop(*[f"known_{n}" for n in histories])
     out = None
     for name, folded in histories.items():
         one = folded.select(F.col(entity).alias("__e"), F.col("versions").alias(f"__{name}"))
@@ -111,7 +108,7 @@ def as_known(events: DataFrame, entity: str, period: str, histories: dict[str, D
     if out is None:
         return events
     joined = events.join(out, events[entity] == out["__e"], "left")
-    # element_at(..., -1) of an empty array would raise, get() of one is null
+
     def known(name: str) -> Column:
         passed = F.filter(F.col(f"__{name}"), lambda x: x["from"] <= F.col(period))
         return F.get(passed, F.size(passed) - 1)["value"]

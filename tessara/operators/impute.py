@@ -81,8 +81,10 @@ def fill_from_similar(frame: DataFrame, fields: dict[str, tuple[Column, str]], w
     ``fields``: for each a condition under which its figure is valid (null counts as not valid), and ``median`` or
     ``mode``. ``wanted``: the rows that ought to have figures; others keep what they have and get no mark.
     ``method_<field>``: null where nothing was filled, else cluster, parent, global or none (there was nothing to fill
-    from; the value stays null). Every row comes back once.
+    from; the value stays null). Every row comes back once, with its other columns whatever their names; existing columns
+    ``filled_<field>`` and ``method_<field>`` are replaced.
     """
+    frame = frame.drop(*[f"{x}_{f}" for f in fields for x in ("filled", "method")])
     wanted = F.coalesce(wanted, F.lit(False))
     valid = {f: F.coalesce(ok, F.lit(False)) & F.col(f).isNotNull() for f, (ok, _) in fields.items()}
     rows = frame.withColumns({"__want": wanted, **{f"__v_{f}": F.when(v, F.col(f).cast("double")) for f, v in valid.items()}})

@@ -68,10 +68,13 @@ def add_instant(frame: DataFrame, text: str, zone: str, date_order: str, out: st
     all-number dates that do not begin with the year. Null results: a null, empty or unknown text; a date without a
     time of day; a day or time that does not exist in the calendar; a local time without a zone; a number-only date
     without a date order. A local time that a clock change repeats is the earlier instant; one that it skips is moved
-    forward by the change. Fractions of a second are cut off.
+    forward by the change. Fractions of a second are cut off. A column named ``out`` is replaced; all other columns stay,
+    whatever their names (those that begin with two underscores are the operator's own).
     """
-    raw = F.regexp_replace(F.col(text), F.lit(pattern(prefix)), F.lit(_replacement()))
-    parts = F.when(raw.startswith(_MARK), F.split(raw, _MARK))
+    frame = frame.drop(out) if out != text else frame
+    # an unmatched text stays as it is and has no parts, unless it held the mark itself
+    given = F.when(~F.contains(F.col(text), F.lit(_MARK)), F.col(text))
+    parts = F.split(F.regexp_replace(given, F.lit(pattern(prefix)), F.lit(_replacement())), _MARK)
     # A generator is a border that the optimizer neither collapses nor pushes a filter through: one match for each text.
     step = frame.select("*", F.explode(F.array(parts)).alias("__x"))
     at = {part: F.nullif(F.get("__x", F.lit(k + 1)), F.lit("")) for k, part in enumerate(_PARTS)}
