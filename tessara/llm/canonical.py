@@ -119,13 +119,16 @@ def replace_lookalikes(text: str) -> str:
 _WORDS = re.compile(r"(\s+)")
 
 
-@lru_cache(maxsize=200_000)
 def canonical(text: str, words: bool = False) -> tuple[str, bool]:
     """The one form of a text, and whether it held other characters than that form's own.
 
     ``words``: the script is judged word by word (running text) instead of once (a name). Runs of white space inside a
     name become one space and its ends are trimmed; that alone doesn't count as a change. '' stays ''.
     """
+    return _short(text, words) if len(text) <= KEPT else _canonical(text, words)
+
+
+def _canonical(text: str, words: bool) -> tuple[str, bool]:
     if not _FIRST_SIGHT.search(text):
         plain, changed = text, False
     else:
@@ -135,6 +138,11 @@ def canonical(text: str, words: bool = False) -> tuple[str, bool]:
     return (plain if words else " ".join(plain.split())), changed
 
 
+#: Only short texts are remembered, so that a worker's memory stays bounded.
+KEPT = 200
+_short = lru_cache(maxsize=100_000)(_canonical)
+
+
 def maybe_unstable(text: Column) -> Column:
     """False for texts that are surely stable: one character class, in the JVM."""
     return text.rlike(f"[^{STABLE}]")
