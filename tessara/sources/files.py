@@ -57,7 +57,7 @@ def read_pages(spark: SparkSession, folder: str, glob: str, numbers: dict[str, s
     ``numbers``: column -> pattern whose first group is a number (null without a match); ``counts``: column -> text to
     count. Patterns run natively; no page leaves the JVM.
     """
-    pages = spark.read.option("pathGlobFilter", glob).option("wholetext", True).text(folder).select("value", F.col("_metadata.file_name").alias("file"))
+    pages = spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
     found = [F.nullif(F.regexp_extract("value", p, 1), F.lit("")).try_cast("double").alias(n) for n, p in numbers.items()]
     counted = [F.regexp_count("value", F.lit(p)).cast("bigint").alias(n) for n, p in counts.items()]
     return pages.select(F.regexp_replace("file", r"\.[^.]*$", "").alias("page_id"), *found, *counted)
@@ -70,7 +70,7 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
 
 def read_log(spark: SparkSession, folder: str, fields: dict[str, str], glob: str = "*.log") -> DataFrame:
     """(file, fields): numbers that patterns find in whole log files; the last match counts."""
-    logs = spark.read.option("pathGlobFilter", glob).option("wholetext", True).text(folder).select("value", F.col("_metadata.file_name").alias("file"))
+    logs = spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
     last = lambda p: F.element_at(F.regexp_extract_all("value", F.lit(p), F.lit(1)), -1)
     return logs.select("file", *[F.when(F.col("value").rlike(p), last(p)).try_cast("double").alias(n) for n, p in fields.items()])
 
