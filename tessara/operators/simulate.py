@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessara.session import ship
+
 SHARES = (10, 25, 50, 75, 90)
 
 
@@ -23,6 +25,7 @@ def totals(rows: DataFrame, key: list[str], rates: dict[str, float], played: str
     rates and chances count as 0. Totals of several rows of one key are added draw by draw before percentiles are taken,
     if their key is given as the group's key.
     """
+    ship(rows.sparkSession)
     names = list(rates)
     one = rows.select(*key, *[F.coalesce(F.col(r).cast("double"), F.lit(0.0)).alias(r) for r in names], F.coalesce(F.col(played).cast("double"), F.lit(0.0)).alias(played), F.xxhash64(F.lit(seed), *key).alias("__seed"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*key).schema.fields)

@@ -41,3 +41,28 @@ def checkpoint_dir(spark: SparkSession) -> None:
 
         shared = tempfile.mkdtemp(prefix="tessara-checkpoint-")
     context.setCheckpointDir(shared)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once for each application.
+
+    Functions that run in Python are pickled by reference to their module, so a worker must be able to import it. The
+    package is small; the driver serves it as one archive, wherever the library is installed there.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="tessara-code-")) / "tessara.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, f"{package.name}/{file.relative_to(package)}")
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessara.session import ship
+
 
 
 def event_stream(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
@@ -37,6 +39,8 @@ def once(events: DataFrame, late: str = "1 hour") -> DataFrame:
 def last_values(events: DataFrame, keep: int = 5) -> DataFrame:
     """(user_id, n, mean_last): after each batch the mean of a user's last ``keep`` values, by time then id."""
 
+    ship(events.sparkSession)
+
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = list(zip(*state.get)) if state.exists else []
         for batch in batches:
