@@ -17,6 +17,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessara.session import ship
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern of this vocabulary's pieces.
@@ -128,8 +131,7 @@ def encode(frame: DataFrame, key: str = "doc_id", text: str = "text", path: str
 
     Null and empty texts have an empty list. Texts are never cut.
     """
-    from pyspark.sql import functions as F
-
+    ship(frame.sparkSession)
     kind = frame.schema[key].dataType.simpleString()
     rows = frame.select(F.col(key), F.col(text).cast("string").alias("__text"))
 

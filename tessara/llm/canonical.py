@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessara.session import ship
+
 # Letters that look like a Latin letter, by script. First the foreign letter, then the Latin one.
 LOOKALIKES = {
     "CYRILLIC": "аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ӏl ѵv үy АA ВB ЕE НH ІI ЈJ КK МM ОO РP ЅS СC ТT УY ҮY ХX ԌG ԚQ ԜW ѴV ӀI",
@@ -31,8 +33,8 @@ LOOKALIKES = {
     "LATIN": "ɑa ɡg ɩi",
 }
 TO_LATIN = {pair[0]: pair[1] for pairs in LOOKALIKES.values() for pair in pairs.split()}
-#: The same the other way, for a Latin letter in a Cyrillic or Greek text.
-FROM_LATIN = {script: {pair[1]: pair[0] for pair in LOOKALIKES[script].split()} for script in ("CYRILLIC", "GREEK")}
+#: The same the other way, for a Latin letter in a Cyrillic or Greek text; the first letter listed for it counts.
+FROM_LATIN = {script: {pair[1]: pair[0] for pair in reversed(LOOKALIKES[script].split())} for script in ("CYRILLIC", "GREEK")}
 HYPHENS = frozenset("‐‑‒–−﹣－")
 APOSTROPHES = frozenset("’ʼ‘＇ʹ")
 #: Composed Latin letters that normalization leaves alone; with ASCII they make a text stable at first sight.
@@ -155,6 +157,7 @@ def canonicalize(frame: DataFrame, text: str, words: bool = False, changed_only:
     replaced. ``changed_only``: only rows with other characters come back; most others never leave the JVM.
     """
     keep = [c for c in frame.columns if c not in ("canonical", "changed")]
+    ship(frame.sparkSession)
     frame = frame.select(*keep)
     if changed_only:
         frame = frame.where(maybe_unstable(F.col(text)))

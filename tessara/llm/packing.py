@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessara.session import ship
+
 CAPACITY, GROUP = 2048, 8192
 
 
@@ -72,6 +74,7 @@ def pack(items: DataFrame, n_rows: int, key: str = "doc_id", size: str = "n_toke
     and a rest that is packed like an item. ``piece`` counts from 0, ``start`` is the piece's offset in its item,
     ``place`` its offset in the container. Repeated keys are separate items.
     """
+    ship(items.sparkSession)
     kind = items.schema[key].dataType.simpleString()
     groups = max(1, -(-n_rows // group))
     rows = items.select(F.col(key), F.col(size).cast("long").alias("__n")).where(F.col("__n") > 0).withColumn("__g", F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(11)), F.lit(groups)))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessara.session import checkpoint_dir
+from tessara.session import checkpoint_dir, ship
 
 # Common words of four languages.
 COMMON = {
@@ -72,6 +72,7 @@ def text_statistics(documents: DataFrame, key: str = "doc_id", text: str = "text
     ``language``: the detected one, else the document's own if known, else ``und``. A null text counts as an empty one;
     ``visible`` is false for both and for white space only.
     """
+    ship(documents.sparkSession)
     kind = documents.schema[key].dataType.simpleString()
     rows = documents.select(F.col(key), F.lower(F.col(language)).alias("__l"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
 
@@ -119,15 +120,17 @@ def z_score(statistic: str) -> Column:
 def score(documents: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang") -> DataFrame:
     """(key, language, visible, statistics, z_<statistic>, prose): ``prose`` is false in the tails.
 
-    Not prose: hardly any common words (five and a half deviations below the language's median); or few of them and
-    either lines of few words, many symbols or many digits. Documents without visible characters have no z-scores and
-    count as prose, as nothing in them is a list, a table or junk.
+    Not prose: hardly any common words (far below the language's median); or few of them and many symbols, many digits,
+    or short lines with more symbols than sentences have; or short lines of that kind over a longer text whose common
+    words are merely below the median (a list repeats the same few). Short lines alone are no sign: prose may be broken
+    anywhere. Documents without visible characters have no z-scores and count as prose, as nothing in them is a list, a
+    table or junk.
     """
     checkpoint_dir(documents.sparkSession)
     rows = text_statistics(documents, key, text, language).checkpoint()
     known = quantiles(rows)
     scored = rows.join(F.broadcast(known), "language", "left").withColumns({f"z_{s}": F.when(F.col("visible"), z_score(s)) for s in STATISTICS})
-    few = F.col("z_common") < -2.5
-    odd = (F.col("words_a_line") < 5) | (F.col("symbols") > 0.15) | (F.col("digits") > 0.1)
-    tail = (F.col("z_common") < -5.5) | (few & odd)
+    z = F.col("z_common")
+    short = lambda most, symbols: (F.col("words_a_line") < most) & (F.col("symbols") > symbols)
+    tail = (z < -6.4) | ((z < -2.5) & ((F.col("symbols") > 0.15) | (F.col("digits") > 0.1) | short(5, 0.06))) | ((z < -0.8) & short(4.2, 0.085) & (F.col("words") >= 16))
     return scored.select(key, "language", "visible", *STATISTICS, *[f"z_{s}" for s in STATISTICS], (~F.coalesce(tail, F.lit(False))).alias("prose"))
