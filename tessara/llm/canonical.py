@@ -37,8 +37,8 @@ TO_LATIN = {pair[0]: pair[1] for pairs in LOOKALIKES.values() for pair in pairs.
 FROM_LATIN = {script: {pair[1]: pair[0] for pair in reversed(LOOKALIKES[script].split())} for script in ("CYRILLIC", "GREEK")}
 HYPHENS = frozenset("‐‑‒–−﹣－")
 APOSTROPHES = frozenset("’ʼ‘＇ʹ")
-#: Composed Latin letters that normalization leaves alone; with ASCII they make a text stable at first sight.
-STABLE = r"\x00-\x7fÀ-ÖØ-öø-ıĴ-ľŁ-ňŊ-žƠơƯưǍ-ǜȘ-țḀ-ẙẠ-ỹ"
+#: Composed Latin letters that normalization leaves alone; with visible ASCII they make a text stable at first sight.
+STABLE = r"\t\n\x0b\x0c\r -~À-ÖØ-öø-ıĴ-ľŁ-ňŊ-žƠơƯưǍ-ǜȘ-țḀ-ẙẠ-ỹ"
 _FIRST_SIGHT = re.compile(f"[^{STABLE}]")
 
 
@@ -59,7 +59,7 @@ def invisible(ch: str) -> bool:
 def unstable(ch: str) -> bool:
     """Fails the quick check: may change under composition, has another width or form, is invisible or no plain space."""
     if ch < "\x80":
-        return False
+        return invisible(ch)
     c = unicodedata.category(ch)
     return c[0] == "M" or c == "Zs" or ch in HYPHENS or ch in APOSTROPHES or invisible(ch) or not unicodedata.is_normalized("NFKC", ch)
 
