@@ -12,66 +12,93 @@ summaries, so no group is ever gathered in one task; the table of fills has (k +
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessara.session import checkpoint_dir
+
 
 @dataclass(frozen=True)
 class Prototypes:
-    """Fitted centers: ``centers[c][name]`` is a number or a category, ``scale[name]`` a numeric feature's deviation."""
+    """Fitted centers. A distance is linear in a row's features, so assigning is a few sums of products.
+
+    Of sum over observed j of ((x_j - c_j) / s_j)^2 the part without c is the same for all centers and left out; a
+    categorical mismatch costs ``gamma``. ``centers[c]`` has standardised numbers and categories; None matches nothing.
+    """
 
     numeric: tuple[str, ...]
     categorical: tuple[str, ...]
+    mean: dict[str, float]
     scale: dict[str, float]
     centers: tuple[dict, ...]
     gamma: float
 
-    def cluster(self) -> Column:
-        """The index of a row's nearest center; ties go to the lower index."""
+    def categories(self) -> list[tuple[str, str]]:
+        return sorted({(n, c[n]) for c in self.centers for n in self.categorical if c[n] is not None})
+
+    def assign(self, frame: DataFrame, out: str = "__k") -> DataFrame:
+        """``frame`` with the index of each row's nearest center; ties go to the lower index. 0 without centers.
+
+        The steps are projections of their own: each compiles to a method small enough to be optimized.
+        """
+        if len(self.centers) < 2:
+            return frame.withColumn(out, F.lit(0))
+        keep = [F.col(f"`{c}`") for c in frame.columns if c != out]
+        seen = {f"__m{j}": F.col(n).isNotNull().cast("double") for j, n in enumerate(self.numeric)}
+        z = {f"__z{j}": F.coalesce((F.col(n).cast("double") - self.mean[n]) / self.scale[n], F.lit(0.0)) for j, n in enumerate(self.numeric)}
+        hot = {f"__h{j}": F.coalesce((F.col(n).cast("string") == v).cast("double"), F.lit(0.0)) for j, (n, v) in enumerate(self.categories())}
+        step = frame.select(*keep, *[c.alias(n) for n, c in (seen | z | hot).items()])
+        place = {pair: j for j, pair in enumerate(self.categories())}
 
         def distance(center: dict) -> Column:
-            total = F.lit(0.0)
-            for n in self.numeric:
-                if center[n] is not None:
-                    total = total + F.coalesce(F.pow((F.col(n).cast("double") - F.lit(float(center[n]))) / F.lit(self.scale[n]), 2), F.lit(0.0))
-            for n in self.categorical:
-                if center[n] is not None:
-                    total = total + F.when(F.col(n).cast("string") == F.lit(center[n]), 0.0).otherwise(self.gamma)
-            return total
-
-        if not self.centers:
-            return F.lit(0)
-        if len(self.centers) == 1:
-            return F.lit(0)
-        return F.least(*[F.struct(distance(c).alias("d"), F.lit(k).alias("k")) for k, c in enumerate(self.centers)])["k"]
+            terms = [F.col(f"__m{j}") * float(center[n] ** 2) - F.col(f"__z{j}") * float(2 * center[n]) for j, n in enumerate(self.numeric) if center[n] is not None]
+            terms += [F.col(f"__h{place[n, center[n]]}") * -self.gamma for n in self.categorical if center[n] is not None]
+            return reduce(lambda a, b: a + b, terms, F.lit(0.0))
+
+        step = step.select(*keep, *[distance(c).alias(f"__d{k}") for k, c in enumerate(self.centers)])
+        step = step.select("*", F.least(*[F.col(f"__d{k}") for k in range(len(self.centers))]).alias("__least"))
+        nearest = F.lit(len(self.centers) - 1)
+        for k in reversed(range(len(self.centers) - 1)):
+            nearest = F.when(F.col(f"__d{k}") == F.col("__least"), F.lit(k)).otherwise(nearest)
+        return step.select(*keep, nearest.alias(out))
 
 
 def fit_prototypes(frame: DataFrame, numeric: list[str], categorical: list[str], k: int = 12, rounds: int = 3, gamma: float = 1.0, seed: int = 7) -> Prototypes:
-    """K-prototypes over all rows. First centers: k rows in the order of a hash, so partitioning has no influence.
+    """K-prototypes over all rows. First centers: k different rows in the order of a hash, whatever the partitioning.
 
-    An empty frame gives no centers (one cluster for all); a feature without spread gets the scale 1.
+    A categorical feature has few values. An empty frame gives no centers (one cluster for all); a feature without
+    spread gets the scale 1; a center's category is the most frequent one (ties: the least).
     """
-    spread = frame.agg(*[F.stddev_pop(F.col(n).cast("double")).alias(n) for n in numeric]).first() if numeric else {}
-    scale = {n: float(spread[n]) if spread[n] else 1.0 for n in numeric}
-    features = [*[F.col(n).cast("double").alias(n) for n in numeric], *[F.col(n).cast("string").alias(n) for n in categorical]]
-    rows = frame.select(*features)
+    values = [F.collect_set(F.col(n).cast("string")).alias(f"c_{n}") for n in categorical]
+    spread = frame.agg(F.count("*").alias("n"), *values, *[x for n in numeric for x in (F.avg(F.col(n).cast("double")).alias(f"m_{n}"), F.stddev_pop(F.col(n).cast("double")).alias(f"s_{n}"))]).first()
+    mean = {n: float(spread[f"m_{n}"] or 0.0) for n in numeric}
+    scale = {n: float(spread[f"s_{n}"] or 1.0) for n in numeric}
+    kinds = [(n, v) for n in categorical for v in sorted(spread[f"c_{n}"])]
     names = [*numeric, *categorical]
+    rows = frame.select(*[F.col(n).cast("double").alias(n) for n in numeric], *[F.col(n).cast("string").alias(n) for n in categorical])
     # equal rows make one center
     first = rows.groupBy(*names).agg(F.lit(1).alias("__one")).orderBy(F.xxhash64(F.lit(seed), *names), *names).limit(k).select(*names).collect()
-    fitted = Prototypes(tuple(numeric), tuple(categorical), scale, tuple(r.asDict() for r in first), gamma)
-    for _ in range(rounds if len(fitted.centers) > 1 else 0):
-        moved = (
-            rows.withColumn("__k", fitted.cluster())
-            .groupBy("__k")
-            .agg(*[F.avg(n).alias(n) for n in numeric], *[F.mode(n, True).alias(n) for n in categorical])
-            .collect()
-        )
-        now = {r["__k"]: {n: r[n] for n in names} for r in moved}
-        centers = tuple(now.get(c, old) for c, old in enumerate(fitted.centers))
-        if centers == fitted.centers:
+    standard = lambda n, x: None if x is None else (float(x) - mean[n]) / scale[n]
+    centers = tuple({n: standard(n, r[n]) if n in mean else r[n] for n in names} for r in first)
+    fitted = Prototypes(tuple(numeric), tuple(categorical), mean, scale, centers, gamma)
+    for _ in range(rounds if len(centers) > 1 else 0):
+        counts = [F.count_if(F.col(n) == v).alias(f"h{j}") for j, (n, v) in enumerate(kinds)]
+        moved = {r["__k"]: r for r in fitted.assign(rows).groupBy("__k").agg(*[F.avg(n).alias(n) for n in numeric], *counts).collect()}
+        centers = []
+        for c, old in enumerate(fitted.centers):
+            if (r := moved.get(c)) is None:
+                centers.append(old)
+                continue
+            best: dict[str, tuple[int, str]] = {}
+            for j, (n, v) in enumerate(kinds):
+                if r[f"h{j}"] and (-r[f"h{j}"], v) < best.get(n, (0, "")):
+                    best[n] = (-r[f"h{j}"], v)
+            centers.append({n: standard(n, r[n]) if n in mean else best[n][1] if n in best else None for n in names})
+        if tuple(centers) == fitted.centers:
             break
-        fitted = Prototypes(fitted.numeric, fitted.categorical, scale, centers, gamma)
+        fitted = Prototypes(fitted.numeric, fitted.categorical, mean, scale, tuple(centers), gamma)
     return fitted
 
 
@@ -89,25 +116,22 @@ def fill_from_similar(frame: DataFrame, fields: dict[str, tuple[Column, str]], w
     valid = {f: F.coalesce(ok, F.lit(False)) & F.col(f).isNotNull() for f, (ok, _) in fields.items()}
     rows = frame.withColumns({"__want": wanted, **{f"__v_{f}": F.when(v, F.col(f).cast("double")) for f, v in valid.items()}})
     fitted = fit_prototypes(rows.where("__want"), numeric, categorical, k, rounds)
-    rows = rows.withColumn("__k", fitted.cluster())
-
-    def of(level: str) -> list[Column]:
-        out = []
-        for f, (_, how) in fields.items():
-            middle = F.percentile_approx(f"__v_{f}", 0.5, 10000) if how == "median" else F.mode(f"__v_{f}", True)
-            out += [middle.alias(f"__{level}_{f}"), F.count(f"__v_{f}").alias(f"__n{level}_{f}")]
-        return out
-
-    seen = rows.where("__want")
-    by_cluster = seen.groupBy(F.col("__k").alias("__ck")).agg(*of("c"))
-    by_parent = seen.groupBy(F.col(parent).alias("__pk")).agg(*of("p"))
-    overall = seen.agg(*of("g"))
-    # k rows, one for each parent group (a category of few values) and one row
-    out = rows.join(F.broadcast(by_cluster), rows["__k"] == by_cluster["__ck"], "left").join(F.broadcast(by_parent), rows[parent] == by_parent["__pk"], "left").join(F.broadcast(overall))
+    rows = fitted.assign(rows)
+    figures = []
+    for f, (_, how) in fields.items():
+        middle = F.percentile_approx(f"__v_{f}", 0.5, 10000) if how == "median" else F.mode(f"__v_{f}", True)
+        figures += [middle.alias(f"__x_{f}"), F.count(f"__v_{f}").alias(f"__n_{f}")]
+    # one pass for the three levels: k rows, one for each parent group (a category of few values), and one
+    levels = rows.where("__want").withColumn("__pk", F.col(parent).cast("string")).groupingSets([["__k"], ["__pk"], []], "__k", "__pk").agg(F.grouping_id().alias("__level"), *figures)
+    checkpoint_dir(frame.sparkSession)
+    levels = levels.checkpoint()
+    named = lambda level, mark: levels.where(F.col("__level") == level).select(*([F.col("__k").alias("__ck")] if mark == "c" else [F.col("__pk").alias("__pp")] if mark == "p" else []), *[F.col(f"__{x}_{f}").alias(f"__{mark}{x}_{f}") for f in fields for x in "xn"])
+    by_cluster, by_parent, overall = named(1, "c"), named(2, "p"), named(3, "g")
+    out = rows.join(F.broadcast(by_cluster), rows["__k"] == by_cluster["__ck"], "left").join(F.broadcast(by_parent), rows[parent].cast("string") == by_parent["__pp"], "left").join(F.broadcast(overall), F.lit(True), "left")
     added = {}
     for f in fields:
         lacking = F.col("__want") & F.col(f"__v_{f}").isNull()
-        by = [(F.coalesce(F.col(f"__n{x}_{f}"), F.lit(0)) >= n, F.col(f"__{x}_{f}"), name) for x, n, name in (("c", least, "cluster"), ("p", least, "parent"), ("g", 1, "global"))]
+        by = [(F.coalesce(F.col(f"__{x}n_{f}"), F.lit(0)) >= n, F.col(f"__{x}x_{f}"), name) for x, n, name in (("c", least, "cluster"), ("p", least, "parent"), ("g", 1, "global"))]
         value, method = F.lit(None).cast("double"), F.lit("none")
         for enough, middle, name in reversed(by):
             value, method = F.when(enough, middle).otherwise(value), F.when(enough, F.lit(name)).otherwise(method)
