@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -117,3 +118,18 @@ def top_k_below(asked: DataFrame, offered: DataFrame, group: str, limit: str, pr
 def coalesce_lookup(frame: DataFrame, lookup: DataFrame, on: list[str], value: str, default: Column) -> DataFrame:
     """Left join on a unique key; a miss gets the default."""
     return frame.join(lookup, on, "left").withColumn(value, F.coalesce(F.col(value), default))
+
+
+def find_one(frame: DataFrame, name: str, asked: str, plain: Callable[[Column], Column]) -> DataFrame:
+    """The rows of the one name that is meant: by the whole plain form, else by a part of it.
+
+    Raises LookupError for no name and for several different ones (of which the first few are told).
+    """
+    form, wanted = plain(F.col(name)), plain(F.lit(asked))
+    for hit in (form == wanted, F.contains(form, wanted)):
+        names = [r[name] for r in frame.where(hit).select(name).distinct().orderBy(name).limit(6).collect()]
+        if len(names) == 1:
+            return frame.where(F.col(name) == names[0])
+        if names:
+            raise LookupError(f"{asked!r} may be any of {names}")
+    raise LookupError(f"nobody is called {asked!r}")

@@ -131,6 +131,39 @@ def simulated_ranges(spark: SparkSession, root: str) -> DataFrame:
     return simulate.totals(both.withColumn("played", F.lit(1.0)), ["fixture_id"], {"home": 1.0, "away": 1.0}, "played")
 
 
+def two_rates(spark: SparkSession, root: str) -> DataFrame:
+    """Chance of conceding nothing, held out: from the opponent's goal rate against a direct model and the train mean.
+
+    The rate model knows a side's goals before and what its opponent conceded before; the opponent's rate comes to a
+    side by the mirror of the fixture.
+    """
+    from tessara.operators import relate
+    from tessara.plans.relations import side_log
+
+    days = table(spark, root, "model_ready_dataset", "fixture_id", "gameweek").groupBy("fixture_id").agg(F.max("gameweek").alias("gameweek"))
+    sides = side_log(spark, root).join(days, "fixture_id")
+    w = W.history_of("club", "gameweek", "fixture_id", "was_home_int")
+    formed = sides.select("fixture_id", "gameweek", "club", "was_home_int", "goals", "opp_goals", W.prior_mean(F.col("goals"), w, 10).alias("own_for"), W.prior_mean(F.col("opp_goals"), w, 10).alias("own_against"))
+    rows = relate.mirror(formed, ["fixture_id"], "was_home_int", ["own_for", "own_against"]).withColumn("clean", (F.col("opp_goals") == 0).cast("int")).where("own_for is not null and opp_own_for is not null")
+    train, test = _split(rows)
+    rate = models.fit_glm(train, "goals", ["own_for", "opp_own_against", "was_home_int"], "poisson")
+    direct = models.fit_glm(train, "clean", ["own_against", "opp_own_for", "was_home_int"], "binomial")
+    both = relate.mirror(test.withColumn("rate", rate.score()), ["fixture_id"], "was_home_int", ["rate"]).where("opp_rate is not null")
+    mean = float(train.agg(F.avg("clean")).first()[0] or 0.0)
+    return models.tournament(both, "clean", {"two_rates": N.none_of_poisson(F.col("opp_rate")), "direct": direct.score(), "mean": F.lit(mean)})
+
+
+def weighted_seasons(spark: SparkSession, root: str) -> DataFrame:
+    """Held-out error of a minutes model on recent matches alone, and on all with recent ones weighted threefold."""
+    train, test = _split(_facts(spark, root))
+    cut = S.quantile_edges(train, "gameweek", [0.5])[0]
+    weighted = train.withColumn("weight", F.when(F.col("gameweek") > cut, 3.0).otherwise(1.0))
+    features = models.varying(train, FEATURES)
+    recent = models.fit_glm(train.where(F.col("gameweek") > cut), "full", features, "binomial")
+    every = models.fit_glm(weighted, "full", features, "binomial", "weight")
+    return models.tournament(test, "full", {"recent": recent.score(), "weighted": every.score()})
+
+
 QUOTA = {"STANDARD": 2, "SMALL": 5, "MEDIUM": 5, "ECONOMY": 3}
 
 
@@ -179,7 +212,7 @@ def stream_last_values(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (glm_poisson_saturated, logit_saturated, ols, minutes_model, forecast_tournament, calibrators, coefficients, expected_mix, simulated_ranges, squad, captain_picks, stream_windows, stream_once, stream_last_values)
+    for f in (glm_poisson_saturated, logit_saturated, ols, minutes_model, forecast_tournament, calibrators, coefficients, expected_mix, simulated_ranges, two_rates, weighted_seasons, squad, captain_picks, stream_windows, stream_once, stream_last_values)
 }
 
 SQL = {

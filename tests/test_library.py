@@ -69,6 +69,21 @@ def test_staged_reconcile_and_snapshots(spark):
     assert sorted([tuple(x) for x in relate.snapshot_diff(old, new, "k", ["a", "b"]).collect()], key=str) == [(1, "gone", "", None, None), (2, "changed", "a", "u", "v"), (3, "new", "", None, None)]
 
 
+def test_find_one(spark):
+    frame = spark.createDataFrame([("Ångø Bo", 1), ("Ango Cy", 2), ("Bo", 3), (None, 4)], "n string, k int")
+    assert [r["k"] for r in relate.find_one(frame, "n", "bo", X.simple_name).collect()] == [3]
+    assert [r["k"] for r in relate.find_one(frame, "n", "cy", X.simple_name).collect()] == [2]
+    for asked in ("ang", "zz"):
+        with pytest.raises(LookupError):
+            relate.find_one(frame, "n", asked, X.simple_name)
+
+
+def test_mirror_keeps_a_lone_side(spark):
+    frame = spark.createDataFrame([(1, True, 5), (1, False, 2), (2, True, 7)], "f int, home boolean, v int")
+    assert sorted((r["f"], r["v"], r["opp_v"]) for r in relate.mirror(frame, ["f"], "home", ["v"]).where("f = 1").collect()) == [(1, 2, 5), (1, 5, 2)]
+    assert relate.mirror(frame, ["f"], "home", ["v"]).where("f = 2").first()["opp_v"] is None
+
+
 def test_average_ranks_and_bins(spark):
     values = [3.0, 1.0, 3.0, None, 7.0, 3.0]
     out = S.average_ranks(spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double"), "v", "r").orderBy("k").collect()
