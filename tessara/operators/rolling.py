@@ -101,15 +101,37 @@ def daily_totals(facts: DataFrame, entity: str, day: str, value: str, lengths: d
     )
 
 
+#: Days, or units of an integer axis, of the buckets that event numbers are counted in.
+BUCKET = 64
+
+
+def event_numbers(events: DataFrame, entity: str, order: list[str], out: str) -> DataFrame:
+    """``events`` with the number (from 0) of each event of its entity in order.
+
+    Numbers are counted inside buckets of the first order column, a date or an integer, and shifted by the counts of the
+    entity's earlier buckets: no task sorts all events of a hot entity. Null order values come first; a column of
+    another type makes one bucket.
+    """
+    from pyspark.sql import Window
+
+    kind = events.schema[order[0]].dataType.simpleString()
+    axis = day_number(F.col(order[0])) if kind in ("date", "timestamp", "timestamp_ntz") else F.col(order[0]).cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else F.lit(0).cast("long")
+    bucketed = events.withColumn("__bucket", F.coalesce(F.floor(axis / BUCKET).cast("long"), F.lit(-(2**62)).cast("long")))
+    counts = bucketed.groupBy(F.col(entity).alias("__ne"), F.col("__bucket").alias("__nb")).agg(F.count("*").alias("__count"))
+    before = F.coalesce(F.sum("__count").over(Window.partitionBy("__ne").orderBy("__nb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = counts.select("__ne", "__nb", before.alias("__before_bucket"))
+    inside = bucketed.withColumn("__in", F.row_number().over(Window.partitionBy(entity, "__bucket").orderBy(*order)).cast("long") - 1)
+    joined = inside.join(shifts, F.col(entity).eqNullSafe(F.col("__ne")) & (F.col("__bucket") == F.col("__nb")))
+    return joined.withColumn(out, F.col("__in") + F.col("__before_bucket")).drop("__bucket", "__in", "__ne", "__nb", "__before_bucket")
+
+
 def trailing_events(events: DataFrame, entity: str, order: list[str], value: str, length: int) -> DataFrame:
     """``events`` with ``trailing_n`` and ``trailing_mean``: of up to ``length`` events of the entity before this one.
 
     Order ties are broken by the later names in ``order``; the mean is null for an entity's first event. The ordinal of
     an event is the axis that is cut into blocks. A null value counts as 0.
     """
-    from pyspark.sql import Window
-
-    numbered = events.withColumn("__at", F.row_number().over(Window.partitionBy(entity).orderBy(*order)).cast("long") - 1)
+    numbered = event_numbers(events, entity, order, "__at")
     sums = block_sums(numbered, entity, "__at", value, length).select(F.col(entity).alias("__e"), F.col("block").alias("__b"), F.col("prefix").alias("__prefix"), F.col("before").alias("__before"))
     last = F.col("__at") - 1
     out = numbered.join(sums, (numbered[entity] == sums["__e"]) & (F.floor(last / F.lit(length)).cast("long") == sums["__b"]), "left")

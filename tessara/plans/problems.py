@@ -107,6 +107,50 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return rows.where(F.col("kickoff_epoch_s").isNotNull() & ~F.col("text").rlike(PLAIN)).select("source_table", "row_id", "kickoff_epoch_s")
 
 
+def _p4_sql(found: bool) -> str:
+    """The same reading in SQL: each form has its own pattern, calendar checks are left to date casts."""
+    month = "case lower({0}) " + " ".join(f"when '{m}' then {k + 1}" for k, m in enumerate(instants.MONTHS)) + " end"
+    minutes = "case {0} " + " ".join(f"when '{n}' then {v}" for n, v in instants.ZONE_MINUTES.items()) + " end"
+    digits = "cast(nullif(regexp_replace({0}, '[^0-9]', '', 'g'), '') as int)"
+    offset = f"case when {{0}} = 'Z' then 0 when {{0}} <> '' then (case when starts_with(trim({{0}}), '-') then -1 else 1 end) * ({digits} // 100 * 60 + {digits} % 100) end"
+    number = "try_cast({0} as int)"
+
+    def part(name: str, text: str, title: bool) -> str:
+        tail = r"(?:\s.*)?$" if title else "$"
+        forms = {
+            "iso": (r"^(\d{4})-(\d{2})-(\d{2})[T ](\d{2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?(Z| ?[+-]\d{2}:?\d{2})?(?:\[[A-Za-z_/]+\])?" + tail, "'y','m','d','h','i','s','o'"),
+            "compact": (r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})Z" + tail, "'y','m','d','h','i','s'"),
+            "numbers": (r"^(\d{2})[/.](\d{2})[/.](\d{4}|\d{2}) (\d{2}):(\d{2})" + tail, "'p','q','y','h','i'"),
+            "half": (r"^(\d{1,2})-([A-Za-z]{3})-(\d{4}) (\d{1,2}):(\d{2}) ([AP])M" + tail, "'d','n','y','h','i','a'"),
+            "named": (r"^[A-Z][a-z]{2},? (\d{1,2}) ([A-Z][a-z]{2}) (\d{4}),? (\d{2}):(\d{2})(?::(\d{2}))? ([A-Z]+)" + tail, "'d','n','y','h','i','s','z'"),
+        }
+        columns = ", ".join(f"regexp_extract(text, '{pattern}', [{groups}]) as {form}" for form, (pattern, groups) in forms.items())
+        return f"""select '{name}' as source_table, row_id, text, time_zone, date_order, {columns}, nullif(regexp_extract(text, '^(\\d{{13}}|\\d{{10}}){tail}', 1), '') as e
+            from (select row_id, feed, {text} as text from {name}) t left join feed_zones z on t.feed = z.feed"""
+
+    n = number.format
+    return f"""
+with r as ({" union all ".join(part(name, *how) for name, how in TIMED.items())}),
+c as (select source_table, row_id, text, time_zone, e,
+    case when iso.y <> '' then {n("iso.y")} when compact.y <> '' then {n("compact.y")} when numbers.y <> '' then {n("numbers.y")} + case when len(numbers.y) = 2 then 2000 else 0 end when half.y <> '' then {n("half.y")} when named.y <> '' then {n("named.y")} end as y,
+    case when iso.y <> '' then {n("iso.m")} when compact.y <> '' then {n("compact.m")} when numbers.y <> '' then case date_order when 'mdy' then {n("numbers.p")} when 'dmy' then {n("numbers.q")} end when half.y <> '' then {month.format("half.n")} when named.y <> '' then {month.format("named.n")} end as m,
+    case when iso.y <> '' then {n("iso.d")} when compact.y <> '' then {n("compact.d")} when numbers.y <> '' then case date_order when 'mdy' then {n("numbers.q")} when 'dmy' then {n("numbers.p")} end when half.y <> '' then {n("half.d")} when named.y <> '' then {n("named.d")} end as d,
+    case when iso.y <> '' then {n("iso.h")} when compact.y <> '' then {n("compact.h")} when numbers.y <> '' then {n("numbers.h")} when half.y <> '' then case when {n("half.h")} between 1 and 12 then {n("half.h")} % 12 + case half.a when 'P' then 12 else 0 end end when named.y <> '' then {n("named.h")} end as h,
+    case when iso.y <> '' then {n("iso.i")} when compact.y <> '' then {n("compact.i")} when numbers.y <> '' then {n("numbers.i")} when half.y <> '' then {n("half.i")} when named.y <> '' then {n("named.i")} end as i,
+    coalesce(case when iso.y <> '' then {n("iso.s")} when compact.y <> '' then {n("compact.s")} when named.y <> '' then {n("named.s")} end, 0) as s,
+    case when iso.y <> '' then {offset.format("iso.o")} when compact.y <> '' then 0 when named.y <> '' then {minutes.format("named.z")} end as o
+    from r),
+l as (select *, try_cast(y || '-' || lpad(m::varchar, 2, '0') || '-' || lpad(d::varchar, 2, '0') as date) as day from c),
+k as (select source_table, row_id, text, case when e is not null then cast(e as bigint) // case len(e) when 13 then 1000 else 1 end
+    when day is null or h is null or h > 23 or i > 59 or s > 59 then null
+    when o is not null then cast(epoch(day) as bigint) + h * 3600 + i * 60 + s - o * 60
+    when time_zone is not null then cast(epoch((cast(day as timestamp) + to_seconds(h * 3600 + i * 60 + s)) at time zone time_zone) as bigint) end as kickoff_epoch_s from l)
+select source_table, row_id, {"" if found else "text, "}cast(kickoff_epoch_s as bigint) as kickoff_epoch_s from k{f" where kickoff_epoch_s is not null and not regexp_matches(text, '{PLAIN}')" if found else ""}
+"""
+
+
+P4_FOUND_SQL, P4_INSTANTS_SQL = _p4_sql(True), _p4_sql(False)
+
 # ---------------------------------------------------------------- p5: filling missing values from similar records
 
 #: No match has had an expected-goals figure, a number of cards or of won tackles above these.
@@ -192,7 +236,7 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
 
 _LABEL = "case lower(regexp_replace({0}, '[^A-Za-z]', '', 'g')) " + " ".join(f"when '{k}' then '{v}'" for k, v in POSITION_LABELS.items()) + " end"
 
-P6_FOUND_SQL = f"""
+_KNOWN = f"""
 with h as (select row_id, player_id, gameweek, recorded_at, {_LABEL.format("position")} as position, nullif(trim(team), '') as team from position_history),
 asked as (select distinct f.player_id, f.gameweek, g.deadline_time from fpl_clean_dataset f join gameweeks g on f.gameweek = g.gameweek),
 pos as (select player_id, gameweek, value from (select a.player_id, a.gameweek, h.position as value,
@@ -201,6 +245,14 @@ pos as (select player_id, gameweek, value from (select a.player_id, a.gameweek,
 club as (select player_id, gameweek, value from (select a.player_id, a.gameweek, h.team as value,
     row_number() over (partition by a.player_id, a.gameweek order by h.gameweek desc, h.recorded_at, h.row_id) rn
     from asked a join h on h.player_id = a.player_id and h.gameweek <= a.gameweek and h.recorded_at <= a.deadline_time where h.team is not null) where rn = 1)
+"""
+
+P6_KNOWN_SQL = f"""{_KNOWN}
+select f.row_id, f.player_id, f.gameweek, f.position, f.team, pos.value as known_position, club.value as known_team
+from fpl_clean_dataset f left join pos on pos.player_id = f.player_id and pos.gameweek = f.gameweek left join club on club.player_id = f.player_id and club.gameweek = f.gameweek
+"""
+
+P6_FOUND_SQL = f"""{_KNOWN}
 select f.row_id, 'position' as field from fpl_clean_dataset f join pos on pos.player_id = f.player_id and pos.gameweek = f.gameweek where pos.value is distinct from {_LABEL.format("f.position")}
 union all
 select f.row_id, 'team' from fpl_clean_dataset f join club on club.player_id = f.player_id and club.gameweek = f.gameweek where club.value is distinct from nullif(trim(f.team), '')
@@ -214,4 +266,4 @@ select cast(player_id as bigint) as player_id, position, cast(gameweek as bigint
 """
 
 QUERIES = {"p1_found": p1_found, "p1_daily": p1_daily, "p4_found": p4_found, "p4_instants": p4_instants, "p5_found": p5_found, "p5_filled": p5_filled, "p6_found": p6_found, "p6_known": p6_known, "p7_found": p7_found}
-SQL = {"p1_found": P1_FOUND_SQL, "p1_daily": P1_DAILY_SQL, "p5_found": P5_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p7_found": P7_FOUND_SQL}
+SQL = {"p1_found": P1_FOUND_SQL, "p1_daily": P1_DAILY_SQL, "p4_found": P4_FOUND_SQL, "p4_instants": P4_INSTANTS_SQL, "p5_found": P5_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p6_known": P6_KNOWN_SQL, "p7_found": P7_FOUND_SQL}

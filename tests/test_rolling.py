@@ -67,3 +67,12 @@ def test_hot_entity_has_the_same_totals(spark):
     facts = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("e"), F.col("id") % 500)).alias("who"), (F.col("id") % 50).alias("at"), F.lit(1).alias("v"))
     out = rolling.totals_at(spark.createDataFrame([("hot", 49)], "who string, at long"), facts, "who", "at", "v", {"total": 50})
     assert out.first()["total"] == 1000
+
+
+def test_event_numbers_span_buckets(spark):
+    rows = [("a", k * 50 - 1000, k) for k in range(40)] + [("a", -1000, 99), ("a", None, 5), (None, 3, 1), (None, 4, 2)]
+    out = rolling.event_numbers(spark.createDataFrame(rows, FACTS), "who", ["at", "v"], "n").collect()
+    got = {(r["who"], r["at"], r["v"]): r["n"] for r in out}
+    for who in ("a", None):
+        mine = sorted((r for r in rows if r[0] == who), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        assert [got[r] for r in mine] == list(range(len(mine)))
