@@ -66,19 +66,23 @@ def window_total(position: Column, length: int, prefix: Column | str = "prefix",
     return F.coalesce(F.get(prefix, p), F.lit(0)) + F.coalesce(F.get(before, p + 1), F.lit(0))
 
 
-def totals_at(asked: DataFrame, facts: DataFrame, entity: str, at: str, value: str, lengths: dict[str, int]) -> DataFrame:
+def totals_at(asked: DataFrame, facts: DataFrame, entity: str, at: str, value: str, lengths: dict[str, int], own: str | None = None) -> DataFrame:
     """``asked`` with one total for each name in ``lengths``: of the window that ends at the row's ``at``.
 
     ``asked`` and ``facts`` share the columns ``entity`` and ``at``. Every asked row comes back once, with its other
     columns whatever their names; without facts in the window, and for a null entity, the total is 0; for a null
-    position it is null.
+    position it is null. ``own``: a name for the total of the row's position alone, which the first window's sums give.
     """
     out = asked
     for name, length in lengths.items():
         sums = block_sums(facts, entity, at, value, length).select(F.col(entity).alias("__e"), F.col("block").alias("__b"), F.col("prefix").alias("__prefix"), F.col("before").alias("__before"))
         block = F.floor(out[at].cast("long") / F.lit(length)).cast("long")
         out = out.join(sums, (out[entity] == sums["__e"]) & (block == sums["__b"]), "left")
-        out = out.withColumn(name, F.when(F.col(at).isNotNull(), window_total(F.col(at), length, "__prefix", "__before"))).drop("__e", "__b", "__prefix", "__before")
+        out = out.withColumn(name, F.when(F.col(at).isNotNull(), window_total(F.col(at), length, "__prefix", "__before")))
+        if own:
+            p = F.pmod(F.col(at).cast("long"), F.lit(length).cast("long")).cast("int")
+            out, own = out.withColumn(own, F.coalesce(F.get("__prefix", p), F.lit(0)) - F.when(p > 0, F.coalesce(F.get("__prefix", p - 1), F.lit(0))).otherwise(F.lit(0))), None
+        out = out.drop("__e", "__b", "__prefix", "__before")
     return out
 
 
@@ -92,7 +96,7 @@ def daily_totals(facts: DataFrame, entity: str, day: str, value: str, lengths: d
     numbered = facts.select(F.col(entity), day_number(F.col(day)).alias(at), F.col(value).alias("__v")).where(F.col(entity).isNotNull() & F.col(at).isNotNull())
     span = numbered.groupBy(entity).agg(F.min(at).alias("a"), F.max(at).alias("z"))
     out = span.select(entity, F.explode(F.sequence("a", "z")).alias(at))
-    out = totals_at(out, numbered, entity, at, "__v", {"__day": 1, **lengths})
+    out = totals_at(out, numbered, entity, at, "__v", lengths, own="__day")
     return out.select(
         entity,
         F.date_add(F.lit("1970-01-01").cast("date"), F.col(at).cast("int")).alias(day),
