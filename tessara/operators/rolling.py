@@ -114,7 +114,7 @@ def event_numbers(events: DataFrame, entity: str, order: list[str], out: str) ->
 
     Numbers are counted inside buckets of the first order column, a date or an integer, and shifted by the counts of the
     entity's earlier buckets: no task sorts all events of a hot entity. Null order values come first; a column of
-    another type makes one bucket.
+    another type makes one bucket. An event without entity has no number.
     """
     from pyspark.sql import Window
 
@@ -125,19 +125,20 @@ def event_numbers(events: DataFrame, entity: str, order: list[str], out: str) ->
     before = F.coalesce(F.sum("__count").over(Window.partitionBy("__ne").orderBy("__nb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shifts = counts.select("__ne", "__nb", before.alias("__before_bucket"))
     inside = bucketed.withColumn("__in", F.row_number().over(Window.partitionBy(entity, "__bucket").orderBy(*order)).cast("long") - 1)
-    joined = inside.join(shifts, F.col(entity).eqNullSafe(F.col("__ne")) & (F.col("__bucket") == F.col("__nb")))
+    # plain equality: the rows lie by entity and bucket already, and are not exchanged again
+    joined = inside.join(shifts, (F.col(entity) == F.col("__ne")) & (F.col("__bucket") == F.col("__nb")), "left")
     return joined.withColumn(out, F.col("__in") + F.col("__before_bucket")).drop("__bucket", "__in", "__ne", "__nb", "__before_bucket")
 
 
 def trailing_events(events: DataFrame, entity: str, order: list[str], value: str, length: int) -> DataFrame:
     """``events`` with ``trailing_n`` and ``trailing_mean``: of up to ``length`` events of the entity before this one.
 
-    Order ties are broken by the later names in ``order``; the mean is null for an entity's first event. The ordinal of
-    an event is the axis that is cut into blocks. A null value counts as 0.
+    Order ties are broken by the later names in ``order``; the mean is null for an entity's first event, and number
+    and mean are for an event without entity. The ordinal of an event is the axis that is cut into blocks. A null value counts as 0.
     """
     numbered = event_numbers(events, entity, order, "__at")
     sums = block_sums(numbered, entity, "__at", value, length).select(F.col(entity).alias("__e"), F.col("block").alias("__b"), F.col("prefix").alias("__prefix"), F.col("before").alias("__before"))
     last = F.col("__at") - 1
     out = numbered.join(sums, (numbered[entity] == sums["__e"]) & (F.floor(last / F.lit(length)).cast("long") == sums["__b"]), "left")
-    n = F.least(F.col("__at"), F.lit(length).cast("long"))
+    n = F.when(F.col("__at").isNotNull(), F.least(F.col("__at"), F.lit(length).cast("long")))
     return out.withColumns({"trailing_n": n, "trailing_mean": F.when(n > 0, window_total(last, length, "__prefix", "__before") / n)}).drop("__e", "__b", "__prefix", "__before", "__at")

@@ -73,6 +73,8 @@ def test_event_numbers_span_buckets(spark):
     rows = [("a", k * 50 - 1000, k) for k in range(40)] + [("a", -1000, 99), ("a", None, 5), (None, 3, 1), (None, 4, 2)]
     out = rolling.event_numbers(spark.createDataFrame(rows, FACTS), "who", ["at", "v"], "n").collect()
     got = {(r["who"], r["at"], r["v"]): r["n"] for r in out}
-    for who in ("a", None):
-        mine = sorted((r for r in rows if r[0] == who), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
-        assert [got[r] for r in mine] == list(range(len(mine)))
+    mine = sorted((r for r in rows if r[0] == "a"), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+    assert [got[r] for r in mine] == list(range(len(mine)))
+    assert len(out) == len(rows) and all(got[r] is None for r in rows if r[0] is None)
+    means = rolling.trailing_events(spark.createDataFrame(rows, FACTS), "who", ["at", "v"], "v", 5).where("who is null").collect()
+    assert [(r["trailing_n"], r["trailing_mean"]) for r in means] == [(None, None)] * 2
