@@ -54,3 +54,14 @@ def weighted_rule(terms: list[tuple[Column, float, int]]) -> Column:
 def gap_label(gap: Column, small: float, large: float) -> Column:
     """AGREE, DISAGREE or MAJOR by the size of a gap."""
     return F.when(F.abs(gap) >= large, "MAJOR").when(F.abs(gap) >= small, "DISAGREE").otherwise("AGREE")
+
+
+def number_or(text: Column, default: float = 0.0) -> Column:
+    """A number in a text, or the default where there is none."""
+    return F.coalesce(text.try_cast("double"), F.lit(default))
+
+
+def reaches(value: Column, group: Column, thresholds: dict[str, float]) -> Column:
+    """1 where a value reaches its group's threshold, 0 where not, null for another group or a null value."""
+    least = F.try_element_at(F.create_map(*[F.lit(x) for pair in thresholds.items() for x in (pair[0], float(pair[1]))]), group)
+    return (value >= least).cast("int")

@@ -68,3 +68,9 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
 
     x, y = key(a), key(b)
     return 100 * (1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1)))
+
+
+def feature_family(feature: Column, merged: dict[str, str] | None = None) -> Column:
+    """A generated feature's family: its name without side and window prefixes; related families may share a name."""
+    family = F.regexp_replace(feature, r"^(?:opp_|own_)?(?:team_)?(?:roll\d+_|season_)?", "")
+    return alias(family, merged) if merged else family

@@ -18,11 +18,12 @@ class Item:
 
 
 def undominated(pool: DataFrame, key: str, group: str, team: str, price: str, value: str, quota: dict[str, int], per_team: int) -> list[Item]:
-    """The candidates that a best choice can hold, by a bound that does not depend on the pool's size.
+    """The candidates that a best choice can hold.
 
     An item is left out if enough others of its group are no dearer and no worse; "enough" is the quota plus what the
-    team limit may forbid. The running count is taken over price and value buckets (at most 64 by 64 for a group), so
-    that no window spans a group and no pairs are emitted; what is collected is a few hundred rows.
+    team limit may forbid. Spark keeps, of each group and whole-number price, the best few of each team and of all (a
+    ranked limit that is applied before the exchange, too); what is collected is at most quota plus squad size for each
+    group and price, so it grows with the range of prices but not with the pool. The driver walks prices upwards.
     """
     ranked = pool.where(F.col(value).isNotNull() & F.col(price).isNotNull() & F.col(group).isin(list(quota)))
     need = F.create_map(*[F.lit(x) for g, n in quota.items() for x in (g, n)])

@@ -27,3 +27,16 @@ def present(frame: DataFrame, names: list[str]) -> list[str]:
     """Those of the names that the frame has, in the order asked for."""
     have = set(frame.columns)
     return [n for n in names if n in have]
+
+
+def adapt(frame: DataFrame, conventions: list[dict[str, str]]) -> DataFrame:
+    """``frame`` with the names of the first convention (old name -> new name) whose old names it all has."""
+    for names in conventions:
+        if set(names) <= set(frame.columns):
+            return frame.withColumnsRenamed(names)
+    raise ValueError(f"columns {frame.columns} follow no known convention")
+
+
+def rounded(frame: DataFrame, digits: int) -> DataFrame:
+    """All fractional columns rounded."""
+    return frame.withColumns({n: F.round(n, digits) for n, kind in frame.dtypes if kind in ("double", "float")})

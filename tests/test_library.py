@@ -104,6 +104,18 @@ def test_text_and_numbers(spark):
     assert abs(got["a"] - exact) < 1e-12 and abs(got["b"] - 0.3) < 1e-9 and got["c"] == 0.75 and got["d"] == "DISAGREE" and got["e"] == 0.0
 
 
+def test_adapters_and_labels(spark):
+    from tessara.sources import tables
+
+    frame = spark.createDataFrame([("7.25", "DEF", 10, 1.23456)], "selected string, pos string, n int, x double")
+    assert tables.adapt(frame, [{"none": "a"}, {"pos": "position"}]).columns == ["selected", "position", "n", "x"]
+    with pytest.raises(ValueError, match="no known convention"):
+        tables.adapt(frame, [{"none": "a"}])
+    assert tables.rounded(frame, 2).first()["x"] == 1.23 and tables.present(frame, ["n", "zz", "pos"]) == ["n", "pos"]
+    row = frame.select(N.number_or(F.col("selected")).alias("a"), N.number_or(F.col("pos"), 1.5).alias("b"), N.reaches(F.col("n"), F.col("pos"), {"DEF": 10, "MID": 12}).alias("c"), N.reaches(F.col("n"), F.lit("GK"), {"DEF": 10}).alias("d"), X.feature_family(F.lit("opp_team_roll5_shots")).alias("e"), X.feature_family(F.lit("season_tackles"), {"tackles": "defending"}).alias("f")).first()
+    assert tuple(row) == (7.25, 1.5, 1, None, "shots", "defending")
+
+
 def irls(x, y, w, rounds=50):
     """Poisson regression with frequency weights, by iteratively reweighted least squares."""
     b = np.zeros(x.shape[1])
