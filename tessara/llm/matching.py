@@ -7,8 +7,8 @@ one event, however many bear the same name or belong to the same group. Each can
 logistic classifier is trained on weak labels, its scores are calibrated on others, and the best mutual pairs above an
 even chance are kept.
 
-Scale: profiles are one aggregate each; the sets combine on the map side. Bands are joined on their hash, with AQE
-splitting what is skewed. Features are JVM expressions over short integer arrays. The classifier sees a sample of
+Scale: profiles are one aggregate each; the sets combine on the map side. Bands are joined on their hash; one that many
+share is cut into a grid of small parts and loses no pair. Features are JVM expressions over short integer arrays. The classifier sees a sample of
 labelled pairs bounded by ``TRAIN`` (taken in the order of a hash); everything else covers all rows. Nothing but model
 coefficients reaches the driver.
 """
@@ -139,9 +139,9 @@ def without(profile: DataFrame, hot: DataFrame) -> DataFrame:
 
 
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left_id, right_id), each pair that shares a band once.
+    """(left_id, right_id): fewer pairs than ``every_candidate`` gives, for those who can do without the rest.
 
-    All who share a band share an event. Should an event be hot (a third of all rows might have it), its pairs are not
+    No query uses it. All who share a band share an event. Should an event be hot (a third of all rows might have it), its pairs are not
     all emitted: there the entities must also share a band of three MinHashes of their names (one of eight); without a
     name they meet only each other. Whether there are hot events at all is the one thing that the driver asks.
     """
@@ -154,6 +154,33 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "band").select("left_id", "right_id").distinct()
 
 
+#: Entities of one side in a part of a hot band.
+PART = 100
+
+
+def _parts(bands: DataFrame, hot: DataFrame, own: str, other: str, place: str, row: bool) -> DataFrame:
+    """``bands`` with (i, j): an entity's part of its own side by its hash, and each part of the other side."""
+    mine, theirs = F.pmod(F.xxhash64("id"), F.coalesce(own, F.lit(1))), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other, F.lit(1)) - 1))
+    i, j = (mine, theirs) if row else (theirs, mine)
+    return bands.join(hot, "band", "left").select(F.col("id").alias(place), "band", i.alias("i"), j.alias("j"))
+
+
+def every_candidate(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(left_id, right_id), each pair that shares a band once, however many share it.
+
+    All who share a band share an event, so there is no hot band without a hot event; whether there are hot events at
+    all is the one thing that the driver asks. A hot band is cut into a grid of parts of about ``PART`` entities of each
+    side: every pair of it meets in one cell, and no task holds the band. Its pairs are as many as they are.
+    """
+    a, b = band_keys(left), band_keys(right)
+    if hot_events(left, right).limit(1).collect():
+        parts = lambda bands, n: bands.groupBy("band").agg(F.ceil(F.count("*") / PART).alias(n), F.count("*").alias(f"count_{n}"))
+        hot = parts(a, "n").join(parts(b, "m"), "band").where(F.col("count_n") * F.col("count_m") > HOT_PAIRS).select("band", "n", "m")
+        a, b = _parts(a, hot, "n", "m", "left_id", True), _parts(b, hot, "m", "n", "right_id", False)
+        return a.join(b, ["band", "i", "j"]).select("left_id", "right_id").distinct()
+    return a.withColumnRenamed("id", "left_id").join(b.withColumnRenamed("id", "right_id"), "band").select("left_id", "right_id").distinct()
+
+
 def pair_features(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """Candidate pairs with their features; pairs without a common event have no evidence and are left out.
 
@@ -232,7 +259,7 @@ def match(left: DataFrame, right: DataFrame, hints: DataFrame | None = None, lea
     is a weak positive label, a candidate with another name a weak negative one; a left entity without hint gives none.
     Hints decide no match.
     """
-    features = pair_features(candidates(left, right), left, right)
+    features = pair_features(every_candidate(left, right), left, right)
     if hints is None:
         labelled = features.withColumn("label", F.lit(None).cast("int"))
     else:

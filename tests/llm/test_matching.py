@@ -79,3 +79,28 @@ def test_a_hot_band_is_split_by_names(spark, monkeypatch):
     pairs = {(r["left_id"], r["right_id"]) for r in M.candidates(a, a).collect()}
     assert all((f"{k}", f"{k}") in pairs for k in range(len(names)))
     assert len(pairs) < len(names) ** 2 / 2.5
+
+
+def test_a_hot_event_loses_no_pair(spark, monkeypatch):
+    """Names missing or spelt quite differently in an event that all share: minutes alone bring the pairs together."""
+    left = [(f"p{k}", GIVEN[k % 8], "1", k + 1, 0, 0) for k in range(40)]
+    right = [(f"x{k}", None if k % 2 else "Quzzyx Zwybb", "1", k + 1, 0, 0) for k in range(40)]
+    a = M.profiles(spark.createDataFrame(left, COLUMNS), "who", "name", "match", ["minutes"], [])
+    b = M.profiles(spark.createDataFrame(right, COLUMNS), "who", "name", "match", ["minutes"], [])
+    monkeypatch.setattr(M, "HOT_PAIRS", 100)
+    assert {(r["left_id"], r["right_id"]) for r in M.match(a, b, least=0.4).collect()} == {(f"p{k}", f"x{k}") for k in range(40)}
+
+
+def test_candidates_are_the_same_at_every_size(spark, monkeypatch):
+    """Bands cut into many parts give the pairs of whole bands: one event for all, with equal minutes, and others."""
+    r = random.Random(8)
+    rows = lambda side: [(f"{side}{k}", r.choice([None, *LAST]), e, 90 if e == "hot" else r.randint(1, 9), 0, 0) for k in range(70) for e in ("hot", *(f"{r.randint(0, 9)}" for _ in range(k % 3)))]
+    a, b = (M.profiles(spark.createDataFrame(rows(side), COLUMNS), "who", "name", "match", ["minutes"], []) for side in "ab")
+    found = []
+    for hot, part in ((10**9, 100), (50, 7)):
+        monkeypatch.setattr(M, "HOT_PAIRS", hot)
+        monkeypatch.setattr(M, "PART", part)
+        pairs = [tuple(x) for x in M.every_candidate(a, b).collect()]
+        assert len(pairs) == len(set(pairs))
+        found.append(set(pairs))
+    assert found[0] == found[1] and len(found[0]) > 500
