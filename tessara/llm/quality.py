@@ -15,7 +15,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessara.session import checkpoint_dir, ship
@@ -95,22 +95,33 @@ SKETCH = 4096
 LEAST_SCALE = {"common": 0.045, "words_a_line": 3.0, "symbols": 0.02, "digits": 0.01, "mean_word": 0.3}
 
 
+#: The share of common words in prose, for want of any document that shows its language.
+USUAL = 0.5
+
+
 def quantiles(rows: DataFrame) -> DataFrame:
-    """(language, n, q_<statistic>): quartiles of each statistic over all documents with visible characters.
+    """(language, n, shown, q_<statistic>): quartiles of each statistic over all documents with visible characters.
 
-    The row of ``und`` comes from the merged sketches of all languages, for documents of none that is known.
+    Those of ``common`` are over the ``shown`` documents alone, which show their language by themselves: else they would
+    follow the share of junk that a source labels as a language. A language without such documents has those of all
+    languages, and if there are none either, ``USUAL``. The row of ``und`` comes from the merged sketches of all
+    languages, for documents of none that is known.
     """
     points = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    sketched = rows.where("visible").groupBy("language").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(F.col(s), F.lit(SKETCH)).alias(s) for s in STATISTICS])
-    merged = sketched.agg(F.lit("und").alias("language"), F.sum("n").alias("n"), *[F.kll_merge_agg_double(F.col(s), F.lit(SKETCH)).alias(s) for s in STATISTICS])
+    shown = F.col("common") >= DETECTED
+    of = {s: F.when(shown, F.col(s)) if s == "common" else F.col(s) for s in STATISTICS}
+    sketched = rows.where("visible").groupBy("language").agg(F.count("*").alias("n"), F.count_if(shown).alias("shown"), *[F.kll_sketch_agg_double(c, F.lit(SKETCH)).alias(s) for s, c in of.items()])
+    merged = sketched.agg(F.lit("und").alias("language"), F.sum("n").alias("n"), F.sum("shown").alias("shown"), *[F.kll_merge_agg_double(F.col(s), F.lit(SKETCH)).alias(s) for s in STATISTICS])
     both = sketched.where("language <> 'und'").unionByName(merged.where("n > 0"))
-    return both.select("language", "n", *[F.kll_sketch_get_quantile_double(F.col(s), points).alias(f"q_{s}") for s in STATISTICS])
+    known = both.select("language", "n", "shown", *[F.when(F.col("shown") > 0 if s == "common" else F.lit(True), F.kll_sketch_get_quantile_double(F.col(s), points)).alias(f"q_{s}") for s in STATISTICS])
+    every = F.max(F.when(F.col("language") == "und", F.col("q_common"))).over(Window.partitionBy(F.lit(0)))
+    return known.withColumn("q_common", F.coalesce("q_common", every, F.array(*[F.lit(USUAL)] * 3)))
 
 
 def z_score(statistic: str) -> Column:
     """Robust z-score: distance from the median in units of the upper half's spread, or of the least scale if larger.
 
-    The upper half, since up to half of a language's documents may be anything but prose, with hardly a common word.
+    The upper half, since documents that are anything but prose have the fewest common words.
     """
     q = F.col(f"q_{statistic}")
     scale = F.greatest((F.get(q, F.lit(2)) - F.get(q, F.lit(1))) / 0.6745, F.lit(LEAST_SCALE.get(statistic, 1e-6)))

@@ -48,3 +48,18 @@ def test_sketch_quantiles_are_near_exact_ones(spark):
 
 def test_empty(spark):
     assert Q.score(spark.createDataFrame([], "doc_id int, text string, lang string")).count() == 0
+
+
+def test_a_language_that_is_mostly_junk(spark):
+    """Four fifths of German, and all of French, are exports without a common word; Spanish isn't there at all."""
+    prose = "Nach der Pause war er mit dem Ball auf der linken Seite und sah, dass sie nicht mehr in das Spiel kam. "
+    table_ = "a1;b2;c3\n" + "\n".join(f"{k};{k * 7};x{k}" for k in range(30))
+    rows = [(k, prose * 3, "de") for k in range(20)] + [(100 + k, table_ + f"\n{k};0", "de") for k in range(80)] + [(300 + k, f"x{k}-" * 40, "fr") for k in range(9)]
+    out = Q.score(spark.createDataFrame(rows, "doc_id int, text string, lang string")).collect()
+    assert {x["doc_id"] for x in out if not x["prose"]} == {r[0] for r in rows if r[0] >= 100}
+
+
+def test_junk_alone(spark):
+    rows = [(k, f"x{k}-" * 40, "fr") for k in range(9)]
+    out = Q.score(spark.createDataFrame(rows, "doc_id int, text string, lang string")).collect()
+    assert len(out) == 9 and not any(x["prose"] for x in out)
