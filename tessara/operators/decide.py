@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,11 +51,12 @@ def undominated(pool: DataFrame, key: str, group: str, team: str, price: str, va
     return out
 
 
-def best_squad(items: list[Item], quota: dict[str, int], budget: int, per_team: int, limit: int = 2_000_000) -> list[Item]:
+def best_squad(items: list[Item], quota: dict[str, int], budget: int, per_team: int, limit: int | None = None) -> list[Item]:
     """The items of greatest total value within quotas, budget and team limit: branch and bound.
 
-    The bound prices the budget (Lagrange multiplier found by bisection) and forgets the team limit. ``limit`` bounds
-    the nodes; beyond it the best choice found so far is returned. [] if there is no choice at all.
+    One bound prices the budget (Lagrange multiplier found by bisection) and forgets the team limit, another forgets
+    both. The search runs to its end; with a ``limit`` of nodes it raises beyond it, as what it found may not be best.
+    [] if there is no choice at all.
     """
     def relaxed(lam: float) -> tuple[float, int]:
         total, cost = 0.0, 0
@@ -73,6 +75,9 @@ def best_squad(items: list[Item], quota: dict[str, int], budget: int, per_team:
     groups = sorted(quota, key=lambda g: len(order[g]))
     worth = {g: [x.value - lam * x.price for x in order[g]] for g in groups}
     tail = {g: sum(sum(worth[h][: quota[h]]) for h in groups[k + 1 :]) for k, g in enumerate(groups)}
+    # the greatest values from each place on, summed up to the quota
+    richest = {g: [[0.0, *accumulate(sorted((x.value for x in order[g][k:]), reverse=True)[: quota[g]])] for k in range(len(order[g]))] for g in groups}
+    rich_tail = {g: sum(richest[h][0][-1] for h in groups[k + 1 :] if order[h]) for k, g in enumerate(groups)}
     cheapest = {g: sum(sum(sorted(x.price for x in order[h])[: quota[h]]) for h in groups[k + 1 :]) for k, g in enumerate(groups)}
     if any(len(order[g]) < quota[g] for g in groups):
         return []
@@ -82,8 +87,8 @@ def best_squad(items: list[Item], quota: dict[str, int], budget: int, per_team:
     def walk(at: int, start: int, left: int, chosen: list[Item], value: float, cost: int, teams: dict[str, int]) -> None:
         nonlocal best, nodes
         nodes += 1
-        if nodes > limit:
-            return
+        if limit is not None and nodes > limit:
+            raise RuntimeError(f"no choice is proven best within {limit} nodes")
         if at == len(groups):
             if value > best[0] + 1e-12:
                 best = (value, list(chosen))
@@ -95,7 +100,7 @@ def best_squad(items: list[Item], quota: dict[str, int], budget: int, per_team:
             return
         for k in range(start, len(order[g]) - left + 1):
             bound = value - lam * cost + lam * budget + sum(worth[g][k : k + left]) + tail[g]
-            if bound <= best[0] + 1e-12:
+            if min(bound, value + richest[g][k][left] + rich_tail[g]) <= best[0] + 1e-12:
                 return
             x = order[g][k]
             if cost + x.price + cheapest[g] > budget or teams.get(x.team, 0) >= per_team:

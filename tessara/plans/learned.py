@@ -172,7 +172,7 @@ def squad(spark: SparkSession, root: str) -> DataFrame:
     parts = table(spark, root, "part", "p_partkey", "p_type", "p_brand", "p_retailprice", "p_size").withColumn("price", F.floor("p_retailprice").cast("int"))
     items = decide.undominated(parts, "p_partkey", "p_type", "p_brand", "price", "p_size", QUOTA, 3)
     cheapest = sorted(i.price for i in items)[:15]
-    chosen = decide.best_squad(items, QUOTA, int(sum(cheapest) * 1.05), 3, 200_000)
+    chosen = decide.best_squad(items, QUOTA, int(sum(cheapest) * 1.05), 3)
     return spark.createDataFrame([(i.key, i.group, i.team, i.price, i.value) for i in chosen], "p_partkey long, p_type string, p_brand string, price int, value double")
 
 

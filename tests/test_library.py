@@ -162,6 +162,13 @@ def test_simulation_meets_analytic_means_and_ignores_partitioning(spark):
     assert out == again
 
 
+def test_best_squad_never_returns_an_unproven_choice(spark):
+    items = [decide.Item(k, "g", f"t{k}", k % 7 + 1, float(k * 5 % 11)) for k in range(30)]
+    with pytest.raises(RuntimeError):
+        decide.best_squad(items, {"g": 5}, 12, 2, limit=3)
+    assert len(decide.best_squad(items, {"g": 5}, 12, 2)) == 5
+
+
 def test_best_squad_equals_exhaustive_search(spark):
     r = random.Random(8)
     for trial in range(6):
