@@ -86,15 +86,19 @@ def totals_at(asked: DataFrame, facts: DataFrame, entity: str, at: str, value: s
     return out
 
 
-def daily_totals(facts: DataFrame, entity: str, day: str, value: str, lengths: dict[str, int]) -> DataFrame:
+def daily_totals(facts: DataFrame, entity: str, day: str, value: str, lengths: dict[str, int], spans: DataFrame | None = None) -> DataFrame:
     """(entity, day, value of the day, totals and means): every day of an entity from its first to its last active one.
 
+    ``spans``: (entity, first, last) with dates, one row for each entity whose days are wanted instead.
     Days without activity have rows too. For each name in ``lengths`` there are ``name`` and ``mean_name``, the total
     and the mean over that many days (a mean divides by the length, whether there was activity or not).
     """
     at = "__at"
     numbered = facts.select(F.col(entity), day_number(F.col(day)).alias(at), F.col(value).alias("__v")).where(F.col(entity).isNotNull() & F.col(at).isNotNull())
-    span = numbered.groupBy(entity).agg(F.min(at).alias("a"), F.max(at).alias("z"))
+    if spans is None:
+        span = numbered.groupBy(entity).agg(F.min(at).alias("a"), F.max(at).alias("z"))
+    else:
+        span = spans.select(entity, day_number(F.col("first")).alias("a"), day_number(F.col("last")).alias("z"))
     out = span.select(entity, F.explode(F.sequence("a", "z")).alias(at))
     out = totals_at(out, numbered, entity, at, "__v", lengths, own="__day")
     return out.select(

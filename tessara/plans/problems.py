@@ -42,8 +42,22 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p1_daily(spark: SparkSession, root: str) -> DataFrame:
-    """Minutes of each player and day, matches or not, with totals and means over 7 and 30 days."""
-    out = rolling.daily_totals(played(spark, root), "player_id", "match_date", "minutes", {"minutes_7d": 7, "minutes_30d": 30})
+    """Minutes of each player and day from the player's first match to the last, with totals and means over 7 and 30 days."""
+    return _daily(played(spark, root))
+
+
+def p1_season(spark: SparkSession, root: str) -> DataFrame:
+    """The same for every player and day of the season, from the first match or note to the last or 29 days after."""
+    facts, notes = played(spark, root), table(spark, root, "load_report", "player_id", "day")
+    day = F.col("match_date")
+    ends = facts.agg(F.min(day).alias("a"), F.date_add(F.max(day), 29).alias("z")).unionByName(notes.agg(F.min("day").alias("a"), F.max("day").alias("z"))).agg(F.min("a").alias("first"), F.max("z").alias("last"))
+    matches = table(spark, root, "model_ready_dataset", "player_id")
+    players = matches.unionByName(notes.select(F.col("player_id").cast(matches.schema["player_id"].dataType))).where("player_id is not null").distinct()
+    return _daily(facts, players.crossJoin(F.broadcast(ends)))
+
+
+def _daily(facts: DataFrame, spans: DataFrame | None = None) -> DataFrame:
+    out = rolling.daily_totals(facts, "player_id", "match_date", "minutes", {"minutes_7d": 7, "minutes_30d": 30}, spans)
     return out.select(
         F.col("player_id").cast("long").alias("player_id"), "match_date", *[F.col(c).cast("long").alias(c) for c in ("minutes", "minutes_7d", "minutes_30d")], "mean_minutes_7d", "mean_minutes_30d"
     )
@@ -78,6 +92,17 @@ select cast(player_id as bigint) as player_id, match_date, cast(minutes as bigin
 from daily window w7 as (partition by player_id order by match_date rows between 6 preceding and current row), w30 as (partition by player_id order by match_date rows between 29 preceding and current row)
 """
 
+P1_SEASON_SQL = f"""
+with {_PLAYED},
+ends as (select min(a) as a, max(z) as z from (select min(match_date) as a, max(match_date) + 29 as z from played union all select min(day), max(day) from load_report)),
+players as (select player_id from played where player_id is not null union select player_id from load_report where player_id is not null),
+days as (select player_id, cast(unnest(generate_series(cast(a as timestamp), cast(z as timestamp), interval 1 day)) as date) as match_date from players, ends),
+daily as (select d.player_id, d.match_date, coalesce(sum(p.minutes), 0) as minutes from days d left join played p on p.player_id = d.player_id and p.match_date = d.match_date group by 1, 2)
+select cast(player_id as bigint) as player_id, match_date, cast(minutes as bigint) as minutes, cast(sum(minutes) over w7 as bigint) as minutes_7d, cast(sum(minutes) over w30 as bigint) as minutes_30d,
+    cast(sum(minutes) over w7 as double) / 7 as mean_minutes_7d, cast(sum(minutes) over w30 as double) / 30 as mean_minutes_30d
+from daily window w7 as (partition by player_id order by match_date rows between 6 preceding and current row), w30 as (partition by player_id order by match_date rows between 29 preceding and current row)
+"""
+
 # ---------------------------------------------------------------- p4: mixed timestamp formats and time zones
 
 TIMED = {"fpl_clean_dataset": ("kickoff_time", False), "understat_player_match_stats": ("date", False), "fbref_player_match_summary": ("game", True)}
@@ -265,5 +290,5 @@ starts as (select * from (select *, lag(position) over (partition by player_id o
 select cast(player_id as bigint) as player_id, position, cast(gameweek as bigint) as valid_from_gw, cast(coalesce(lead(gameweek) over (partition by player_id order by gameweek) - 1, 0) as bigint) as valid_to_gw from starts
 """
 
-QUERIES = {"p1_found": p1_found, "p1_daily": p1_daily, "p4_found": p4_found, "p4_instants": p4_instants, "p5_found": p5_found, "p5_filled": p5_filled, "p6_found": p6_found, "p6_known": p6_known, "p7_found": p7_found}
-SQL = {"p1_found": P1_FOUND_SQL, "p1_daily": P1_DAILY_SQL, "p4_found": P4_FOUND_SQL, "p4_instants": P4_INSTANTS_SQL, "p5_found": P5_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p6_known": P6_KNOWN_SQL, "p7_found": P7_FOUND_SQL}
+QUERIES = {"p1_found": p1_found, "p1_daily": p1_daily, "p1_season": p1_season, "p4_found": p4_found, "p4_instants": p4_instants, "p5_found": p5_found, "p5_filled": p5_filled, "p6_found": p6_found, "p6_known": p6_known, "p7_found": p7_found}
+SQL = {"p1_found": P1_FOUND_SQL, "p1_daily": P1_DAILY_SQL, "p1_season": P1_SEASON_SQL, "p4_found": P4_FOUND_SQL, "p4_instants": P4_INSTANTS_SQL, "p5_found": P5_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p6_known": P6_KNOWN_SQL, "p7_found": P7_FOUND_SQL}

@@ -78,3 +78,13 @@ def test_event_numbers_span_buckets(spark):
     assert len(out) == len(rows) and all(got[r] is None for r in rows if r[0] is None)
     means = rolling.trailing_events(spark.createDataFrame(rows, FACTS), "who", ["at", "v"], "v", 5).where("who is null").collect()
     assert [(r["trailing_n"], r["trailing_mean"]) for r in means] == [(None, None)] * 2
+
+
+def test_every_note_has_its_day_in_the_season(spark, tiny):
+    """Days before a player's first match and after the last are there, as the notes ask for them."""
+    from tessara.plans.problems import QUERIES
+    from tessara.sources.tables import table
+
+    notes = table(spark, tiny, "load_report", "player_id", "day").distinct().withColumnRenamed("day", "match_date")
+    lacking = lambda name: notes.join(QUERIES[name](spark, tiny), ["player_id", "match_date"], "left_anti").count()
+    assert lacking("p1_season") == 0 < lacking("p1_daily")
