@@ -61,17 +61,8 @@ def month_days(y: Column, m: Column) -> Column:
     return F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
 
 
-def add_instant(frame: DataFrame, text: str, zone: str, date_order: str, out: str, prefix: bool = False) -> DataFrame:
-    """``frame`` with ``out``: seconds since 1970 in UTC, or null.
-
-    ``zone``: a column with an IANA zone for texts without zone or offset; ``date_order``: a column with dmy or mdy for
-    all-number dates that do not begin with the year. Null results: a null, empty or unknown text; a date without a
-    time of day; a day or time that does not exist in the calendar; a local time without a zone; a number-only date
-    without a date order. A local time that a clock change repeats is the earlier instant; one that it skips is moved
-    forward by the change. Fractions of a second are cut off. A column named ``out`` is replaced; all other columns stay,
-    whatever their names (those that begin with two underscores are the operator's own).
-    """
-    frame = frame.drop(out) if out != text else frame
+def _components(frame: DataFrame, text: str, date_order: str, prefix: bool) -> DataFrame:
+    """``frame`` with the numbers that a text gives: __y __m __d __h __i __s __o __named __e, each null where absent."""
     # an unmatched text stays as it is and has no parts, unless it held the mark itself
     given = F.when(~F.contains(F.col(text), F.lit(_MARK)), F.col(text))
     parts = F.split(F.regexp_replace(given, F.lit(pattern(prefix)), F.lit(_replacement())), _MARK)
@@ -91,12 +82,47 @@ def add_instant(frame: DataFrame, text: str, zone: str, date_order: str, out: st
     names = F.create_map(*[F.lit(x) for name, n in ZONE_MINUTES.items() for x in (name, n)])
     offset = F.when(F.length(digits) == 4, sign * (F.substring(digits, 1, 2).try_cast("long") * 60 + F.substring(digits, 3, 2).try_cast("long"))).otherwise(F.try_element_at(names, F.upper(at["o"])).cast("long"))
     fields = {"y": year, "m": month, "d": day, "h": hour, "i": number("i"), "s": F.coalesce(number("s"), F.lit(0).cast("long")), "o": offset, "named": at["o"].isNotNull(), "e": at["e"]}
-    step = step.select("*", F.inline(F.array(F.struct(*[c.alias(f"__{n}") for n, c in fields.items()]))))
+    return step.select("*", F.inline(F.array(F.struct(*[c.alias(f"__{n}") for n, c in fields.items()])))).drop("__x")
+
+
+def _real_day(y: Column, m: Column, d: Column) -> Column:
+    return y.between(1, 9999) & m.between(1, 12) & (d >= 1) & (d <= month_days(y, m))
+
+
+_COMPONENTS = tuple(f"__{c}" for c in ("y", "m", "d", "h", "i", "s", "o", "named", "e"))
+
+
+def _epoch() -> Column:
+    return F.when(F.length("__e") == 13, F.floor(F.col("__e").try_cast("long") / 1000)).otherwise(F.col("__e").try_cast("long"))
+
+
+def add_day(frame: DataFrame, text: str, date_order: str, out: str, prefix: bool = False) -> DataFrame:
+    """``frame`` with ``out``: the date that a text names as its own clock wrote it, with or without a time of day.
+
+    An epoch gives its day in UTC. Null for a null, empty or unknown text, a day that isn't in the calendar, and a
+    number-only date without a date order. A column named ``out`` is replaced; all other columns stay.
+    """
+    step = _components(frame.drop(out) if out != text else frame, text, date_order, prefix)
+    y, m, d = (F.col(f"__{c}") for c in "ymd")
+    number = F.when(F.col("__e").isNotNull(), F.floor(_epoch() / 86400)).when(_real_day(y, m, d), days_from_civil(y, m, d))
+    return step.select("*", F.explode(F.array(F.date_add(F.lit("1970-01-01").cast("date"), number.cast("int")))).alias(out)).drop(*_COMPONENTS)
+
+
+def add_instant(frame: DataFrame, text: str, zone: str, date_order: str, out: str, prefix: bool = False) -> DataFrame:
+    """``frame`` with ``out``: seconds since 1970 in UTC, or null.
+
+    ``zone``: a column with an IANA zone for texts without zone or offset; ``date_order``: a column with dmy or mdy for
+    all-number dates that do not begin with the year. Null results: a null, empty or unknown text; a date without a
+    time of day; a day or time that does not exist in the calendar; a local time without a zone; a number-only date
+    without a date order. A local time that a clock change repeats is the earlier instant; one that it skips is moved
+    forward by the change. Fractions of a second are cut off. A column named ``out`` is replaced; all other columns stay,
+    whatever their names (those that begin with two underscores are the operator's own).
+    """
+    step = _components(frame.drop(out) if out != text else frame, text, date_order, prefix)
     y, m, d, h, i, s = (F.col(f"__{c}") for c in "ymdhis")
-    real = y.between(1, 9999) & m.between(1, 12) & (d >= 1) & (d <= month_days(y, m)) & h.between(0, 23) & i.between(0, 59) & s.between(0, 59)
+    real = _real_day(y, m, d) & h.between(0, 23) & i.between(0, 59) & s.between(0, 59)
     local = days_from_civil(y, m, d) * 86400 + h * 3600 + i * 60 + s
     step = step.withColumn("__local", F.when(real, local))
-    epoch = F.when(F.length("__e") == 13, F.floor(F.col("__e").try_cast("long") / 1000)).otherwise(F.col("__e").try_cast("long"))
     zoned = F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds("__local"), F.col(zone)))
-    instant = F.when(F.col("__e").isNotNull(), epoch).when(F.col("__named"), F.col("__local") - F.col("__o") * 60).when(F.col("__local").isNotNull() & F.col(zone).isNotNull(), zoned)
-    return step.select("*", F.explode(F.array(instant.cast("long"))).alias(out)).drop("__x", "__y", "__m", "__d", "__h", "__i", "__s", "__o", "__named", "__e", "__local")
+    instant = F.when(F.col("__e").isNotNull(), _epoch()).when(F.col("__named"), F.col("__local") - F.col("__o") * 60).when(F.col("__local").isNotNull() & F.col(zone).isNotNull(), zoned)
+    return step.select("*", F.explode(F.array(instant.cast("long"))).alias(out)).drop(*_COMPONENTS, "__local")
