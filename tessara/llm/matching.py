@@ -2,8 +2,8 @@
 
 An entity is a profile: a name and the set of what it was seen in (events with details). Candidates come from MinHash
 bands over two attributes: bands of two hashes of the exact details, and bands that join one hash of the events with one
-hash of the name. A pair that never shares an event is no candidate, so a bucket holds no more than the few entities of
-one event, however many bear the same name or belong to the same group. Each candidate pair gets similarity features; a
+hash of the name. A pair that never shares an event is no candidate, so a bucket holds no more than the entities of one
+event, however many bear the same name or belong to the same group. Each candidate pair gets similarity features; a
 logistic classifier is trained on weak labels, its scores are calibrated on others, and the best mutual pairs above an
 even chance are kept.
 
@@ -49,15 +49,21 @@ def folded(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(name), _FROM, _TO), r"[^\p{L}]+", " "))
 
 
+def words_of(plain: str | Column) -> Column:
+    """The words of a folded name."""
+    plain = F.col(plain) if isinstance(plain, str) else plain
+    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+
+
 def name_words(name: Column) -> Column:
-    return F.filter(F.split(folded(name), " "), lambda w: w != "")
+    return words_of(folded(name))
 
 
 def letter_pairs(words: Column) -> Column:
-    """Hashes of the pairs of adjacent letters of each word, its edges marked, without repetition."""
+    """Short hashes of the pairs of adjacent letters of each word, its edges marked, without repetition."""
     def of(word: Column) -> Column:
         marked = F.concat(F.lit("_"), word, F.lit("_"))
-        return F.transform(F.sequence(F.lit(1), F.length(marked) - 1), lambda i: F.hash(F.substr(marked, i, F.lit(2))))
+        return F.transform(F.sequence(F.lit(1), F.length(marked) - 1), lambda i: F.shiftright(F.hash(F.substr(marked, i, F.lit(2))), 16).cast("smallint"))
 
     return F.array_distinct(F.flatten(F.transform(words, of)))
 
@@ -72,27 +78,38 @@ def lower(seen: str | Column) -> Column:
     return F.array_distinct(F.transform(seen, lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int")))
 
 
+#: Of the packed form of a seen event the lower bits are of the exact columns, the others of the event.
+EXACT_BITS = 12
+
+
+def packed(seen: str | Column) -> Column:
+    """A set of seen events in integers, half as long: some bits of an event's hash, some of that of its exact columns."""
+    low = (1 << EXACT_BITS) - 1
+    return F.array_distinct(F.transform(seen, lambda x: F.shiftright(x, 32).cast("int").bitwiseAND(F.lit(~low)).bitwiseOR(x.bitwiseAND(F.lit(low)).cast("int"))))
+
+
 def profiles(seen: DataFrame, key: str, name: str, event: str, exact: list[str], details: list[str]) -> DataFrame:
-    """(id, name, words, pairs, seen, events, exact, detail_*): one row for each key with at least one event.
+    """(id, plain, pairs, seen, detail_*): one row for each key with at least one event.
 
     ``seen``: rows (key, name, event, columns of ``exact`` and of ``details``). Hashes stand for events, for events with
     their exact columns, and for events in which a detail is above 0 (its value counts too). Repeated rows change
-    nothing; of several names the last in order is taken; rows without key or event are dropped. The result is cut from
-    its sources by a checkpoint: candidates and features both read it.
+    nothing; of several names the last in order is taken; rows without key are dropped, rows without event give only
+    their name. ``plain``: the folded name. The result is cut from its sources by a checkpoint: candidates and features
+    both read it.
     """
-    rows = seen.where(F.col(key).isNotNull() & F.col(event).isNotNull())
-    hashed = rows.select(
+    known = lambda x: F.when(F.col(event).isNotNull(), x)
+    hashed = seen.where(F.col(key).isNotNull()).select(
         F.col(key).cast("string").alias("id"),
         F.col(name).alias("name"),
         # one set holds both: the event's hash above, that of the event with its exact columns below
-        F.shiftleft(F.hash(event).cast("long"), 32).bitwiseOR(F.hash(event, *exact).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("seen"),
-        *[F.when(F.coalesce(F.col(d), F.lit(0)) > 0, F.hash(F.lit(d), F.col(event), F.col(d).cast("int"))).alias(f"detail_{d}") for d in details],
+        known(F.shiftleft(F.hash(event).cast("long"), 32).bitwiseOR(F.hash(event, *exact).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("seen"),
+        *[known(F.when(F.coalesce(F.col(d), F.lit(0)) > 0, F.hash(F.lit(d), F.col(event), F.col(d).cast("int")))).alias(f"detail_{d}") for d in details],
     )
     sets = [F.collect_set(c).alias(c) for c in ("seen", *[f"detail_{d}" for d in details])]
-    grouped = hashed.groupBy("id").agg(F.max("name").alias("name"), *sets).withColumns({"events": upper("seen"), "exact": lower("seen")})
-    named = grouped.select("*", F.explode(F.array(name_words(F.coalesce(F.col("name"), F.lit(""))))).alias("words"))
+    grouped = hashed.groupBy("id").agg(F.max("name").alias("name"), *sets).where(F.size("seen") > 0)
+    named = grouped.select("id", folded(F.coalesce(F.col("name"), F.lit(""))).alias("plain"), *[c for c in grouped.columns if c not in ("id", "name")])
     checkpoint_dir(seen.sparkSession)
-    return named.withColumn("pairs", letter_pairs(F.col("words"))).checkpoint()
+    return named.withColumn("pairs", letter_pairs(words_of("plain"))).checkpoint()
 
 
 def _least(values: Column, seeds: range) -> list[Column]:
@@ -106,58 +123,27 @@ def _least(values: Column, seeds: range) -> list[Column]:
 
 def band_keys(profile: DataFrame) -> DataFrame:
     """(id, band): the bands an entity falls in."""
+    sets = profile.select("id", "pairs", lower("seen").alias("exact"), upper("seen").alias("events"))
     exact = _least(F.col("exact"), range(2 * EXACT_BANDS))
     events = _least(F.col("events"), range(100, 100 + MIXED_BANDS))
     names = _least(F.col("pairs"), range(200, 200 + MIXED_BANDS))
     bands = [F.xxhash64(F.lit(k), exact[2 * k], exact[2 * k + 1]) for k in range(EXACT_BANDS)]
     bands += [F.when(names[k].isNotNull(), F.xxhash64(F.lit(1000 + k), events[k], names[k])) for k in range(MIXED_BANDS)]
-    return profile.select("id", F.explode(F.array(*bands)).alias("band")).where("band is not null")
+    return sets.select("id", F.explode(F.array(*bands)).alias("band")).where("band is not null")
 
 
-#: An event that would give more pairs than this is not searched by bands of its own.
+#: A band, or an event, that would give more pairs than this is spread over several tasks; no pair is lost.
 HOT_PAIRS = 10_000
+#: Entities of one side in a part of a hot band.
+PART = 100
 
 
 def hot_events(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(event): those that so many of both sides have that all pairs within them would be too many."""
-    count = lambda side, n: side.select(F.explode("events").alias("event")).groupBy("event").agg(F.count("*").alias(n))
+    """(event): those with so many entities of both sides that a band of them may be hot."""
+    count = lambda side, n: side.select(F.explode(upper("seen")).alias("event")).groupBy("event").agg(F.count("*").alias(n))
     return count(left, "n").join(count(right, "m"), "event").where(F.col("n") * F.col("m") > HOT_PAIRS).select("event")
 
 
-def hot_bands(profile: DataFrame, hot: DataFrame) -> DataFrame:
-    """(id, band): for each hot event of an entity eight bands, each of three MinHashes of its name."""
-    h = _least(F.col("pairs"), range(300, 324))
-    held = profile.select("id", "pairs", F.explode("events").alias("event")).join(hot, "event")
-    return held.select("id", F.explode(F.array(*[F.xxhash64(F.lit(-k), F.col("event"), *h[3 * k : 3 * k + 3]) for k in range(8)])).alias("band"))
-
-
-def without(profile: DataFrame, hot: DataFrame) -> DataFrame:
-    """Profiles without their hot events; an entity that has no other is absent."""
-    held = profile.select("id", F.explode("seen").alias("x")).withColumn("event", F.shiftright("x", 32).cast("int"))
-    kept = held.join(hot, "event", "left_anti").groupBy("id").agg(F.collect_set("x").alias("seen"))
-    return profile.drop("seen", "events", "exact").join(kept.select("id", upper("seen").alias("events"), lower("seen").alias("exact")), "id")
-
-
-def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left_id, right_id): fewer pairs than ``every_candidate`` gives, for those who can do without the rest.
-
-    No query uses it. All who share a band share an event. Should an event be hot (a third of all rows might have it), its pairs are not
-    all emitted: there the entities must also share a band of three MinHashes of their names (one of eight); without a
-    name they meet only each other. Whether there are hot events at all is the one thing that the driver asks.
-    """
-    hot = hot_events(left, right)
-    if hot.limit(1).collect():
-        bands = lambda side: band_keys(without(side, hot)).unionByName(hot_bands(side, hot))
-    else:
-        bands = band_keys
-    a, b = bands(left).withColumnRenamed("id", "left_id"), bands(right).withColumnRenamed("id", "right_id")
-    return a.join(b, "band").select("left_id", "right_id").distinct()
-
-
-#: Entities of one side in a part of a hot band.
-PART = 100
-
-
 def _parts(bands: DataFrame, hot: DataFrame, own: str, other: str, place: str, row: bool) -> DataFrame:
     """``bands`` with (i, j): an entity's part of its own side by its hash, and each part of the other side."""
     mine, theirs = F.pmod(F.xxhash64("id"), F.coalesce(own, F.lit(1))), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other, F.lit(1)) - 1))
@@ -165,12 +151,12 @@ def _parts(bands: DataFrame, hot: DataFrame, own: str, other: str, place: str, r
     return bands.join(hot, "band", "left").select(F.col("id").alias(place), "band", i.alias("i"), j.alias("j"))
 
 
-def every_candidate(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left_id, right_id), each pair that shares a band once, however many share it.
+def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(left_id, right_id): each pair that shares a band, once, however many share it.
 
     All who share a band share an event, so there is no hot band without a hot event; whether there are hot events at
     all is the one thing that the driver asks. A hot band is cut into a grid of parts of about ``PART`` entities of each
-    side: every pair of it meets in one cell, and no task holds the band. Its pairs are as many as they are.
+    side: every pair of it meets in one cell, and no task holds the band. The pairs are the same at every size.
     """
     a, b = band_keys(left), band_keys(right)
     if hot_events(left, right).limit(1).collect():
@@ -186,12 +172,13 @@ def pair_features(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFr
 
     Details count as far as both sides have them.
     """
-    names = ("name", "events", "exact", "words", "pairs")
     details = [c for c in left.columns if c.startswith("detail_") and c in right.columns]
+    # what goes with every pair is kept short: packed events, a name's text and short hashes of its letter pairs
     known = F.concat(*details) if details else F.array().cast("array<int>")
-    a = left.select(F.col("id").alias("left_id"), *[F.col(c).alias(f"a_{c}") for c in names], known.alias("a_details"))
-    b = right.select(F.col("id").alias("right_id"), *[F.col(c).alias(f"b_{c}") for c in names], known.alias("b_details"))
-    both = pairs.join(a, "left_id").join(b, "right_id")
+    short = lambda side, s: side.select(F.col("id").alias(f"{s}_id"), *[c.alias(f"__{s}_{n}") for n, c in (("exact", packed("seen")), ("plain", F.col("plain")), ("pairs", F.col("pairs")), ("details", known))])
+    both = pairs.join(short(left, "left"), "left_id").join(short(right, "right"), "right_id")
+    event = lambda c: F.array_distinct(F.transform(c, lambda x: F.shiftright(x, EXACT_BITS)))
+    both = both.select("left_id", "right_id", F.col("__right_plain").alias("b_plain"), *[F.col(f"__{s}_{n}").alias(f"{t}_{n}") for s, t in (("left", "a"), ("right", "b")) for n in ("exact", "pairs", "details")], *[c.alias(f"{t}_{n}") for s, t in (("left", "a"), ("right", "b")) for n, c in (("events", event(f"__{s}_exact")), ("words", words_of(f"__{s}_plain")))])
     size = lambda c: F.size(c).cast("double")
     common = lambda c: size(F.array_intersect(f"a_{c}", f"b_{c}"))
     both = both.withColumns({"n_exact": common("exact"), "n_events": common("events"), "n_details": common("details"), "n_pairs": common("pairs")}).where("n_events > 0")
@@ -202,7 +189,7 @@ def pair_features(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFr
     last = F.array_max(F.transform("a_words", lambda v: 1 - F.levenshtein(v, F.element_at("b_words", -1)) / F.greatest(F.length(v), F.length(F.element_at("b_words", -1)), F.lit(1))))
     inside = share(F.col("n_pairs"), size("b_pairs"))
     return both.select(
-        "left_id", "right_id", "b_name",
+        "left_id", "right_id", "b_plain",
         share(F.col("n_exact"), size("b_exact")).alias("exact_right"),
         share(F.col("n_exact"), size("a_exact")).alias("exact_left"),
         share(F.col("n_events"), size("b_events")).alias("events_right"),
@@ -259,11 +246,11 @@ def match(left: DataFrame, right: DataFrame, hints: DataFrame | None = None, lea
     is a weak positive label, a candidate with another name a weak negative one; a left entity without hint gives none.
     Hints decide no match.
     """
-    features = pair_features(every_candidate(left, right), left, right)
+    features = pair_features(candidates(left, right), left, right)
     if hints is None:
         labelled = features.withColumn("label", F.lit(None).cast("int"))
     else:
         one = hints.groupBy("left_id").agg(F.max("hinted").alias("hinted"))
-        labelled = features.join(one, "left_id", "left").withColumn("label", (folded(F.col("hinted")) == folded(F.col("b_name"))).cast("int")).drop("hinted")
-    kept = labelled.drop("b_name").checkpoint()
+        labelled = features.join(one, "left_id", "left").withColumn("label", (folded(F.col("hinted")) == F.col("b_plain")).cast("int")).drop("hinted")
+    kept = labelled.drop("b_plain").checkpoint()
     return best_pairs(classify(kept, "label"), least)

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessara.llm import bpe, canonical, matching, packing, quality
+from tessara.operators.instants import add_day
+from tessara.operators.relate import small_lookup
+from tessara.session import checkpoint_dir
 from tessara.sources.tables import table
 
 # ---------------------------------------------------------------- p2: visually identical text
@@ -48,51 +51,66 @@ def fixtures(spark: SparkSession, root: str) -> DataFrame:
 
 
 def player_appearances(spark: SparkSession, root: str) -> DataFrame:
-    """Rows of the game with minutes; of several reports the one ingested last."""
+    """Rows of the game with minutes, and a row with the name alone; of several reports the one ingested last."""
     rows = table(spark, root, "fpl_clean_dataset", "row_id", "player_id", "full_name", "fixture_id", "was_home", "minutes", "goals", "assists", "yellow_cards", "ingested_at")
-    value = F.struct("full_name", "was_home", "minutes", "goals", "assists", "yellow_cards")
-    last = rows.groupBy("player_id", "fixture_id").agg(F.max_by(value, F.struct("ingested_at", "row_id")).alias("x"))
-    return last.select("player_id", "x.full_name", F.concat_ws("/", "fixture_id", F.col("x.was_home")).alias("event"), "x.minutes", "x.goals", "x.assists", "x.yellow_cards").where("minutes > 0")
+    figures = ["minutes", "goals", "assists", "yellow_cards"]
+    # names are long and few: they don't go with every report
+    last = rows.groupBy("player_id", "fixture_id").agg(F.max_by(F.struct("was_home", *figures), F.struct("ingested_at", "row_id")).alias("x"))
+    seen = last.where("x.minutes > 0").select("player_id", F.lit(None).cast("string").alias("full_name"), F.concat_ws("/", "fixture_id", F.col("x.was_home")).alias("event"), *[f"x.{c}" for c in figures])
+    names = rows.groupBy("player_id").agg(F.max("full_name").alias("full_name"))
+    return seen.unionByName(names, allowMissingColumns=True)
 
 
 #: A foreign source's day is local, and a few matches were moved.
 MOST_DAYS = 6
 
 
-def iso_day(text: Column) -> Column:
-    """The day of a text with an ISO date; other forms give none (of a match's many rows most have one)."""
-    return F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2})", 1).try_cast("date")
+def with_day(rows: DataFrame, zones: DataFrame, text: str, prefix: bool) -> DataFrame:
+    """``rows`` with ``day``: the day that a text gives, in any of the known forms; those with an ISO day are read at once."""
+    order = zones.select(F.col("feed").alias("__feed"), F.col("date_order").alias("__order")).dropDuplicates(["__feed"])
+    iso = F.regexp_extract(text, r"^\s*(\d{4}-\d{2}-\d{2})", 1).try_cast("date")
+    # eight feeds
+    joined = rows.join(F.broadcast(order), rows["feed"] == order["__feed"], "left").withColumns({"__iso": iso, "__rest": F.when(iso.isNull(), F.col(text))})
+    return add_day(joined, "__rest", "__order", "day", prefix).withColumn("day", F.coalesce("__iso", "day")).drop("__feed", "__order", "__iso", "__rest")
 
 
 def _with_fixture(games: DataFrame, known: DataFrame) -> DataFrame:
-    """(game, home, away, fixture_id): of the fixtures of a game's clubs the nearest in time."""
+    """(game, home, away, fixture_id): of the fixtures of a game's clubs the nearest in time.
+
+    A game whose texts give no day at all has the only fixture of its clubs, if there is just one.
+    """
     near = games.join(known.withColumnRenamed("day", "__day"), ["home", "away"]).withColumn("__gap", F.abs(F.datediff("day", "__day")))
-    return near.where(F.col("__gap") <= MOST_DAYS).groupBy("game").agg(F.min_by("fixture_id", F.struct("__gap", "fixture_id")).alias("fixture_id"), F.max("home").alias("home"), F.max("away").alias("away"))
+    some = near.where((F.col("__gap") <= MOST_DAYS) | F.col("day").isNull())
+    found = some.groupBy("game").agg(F.min_by("fixture_id", F.struct("__gap", "fixture_id")).alias("fixture_id"), F.max("home").alias("home"), F.max("away").alias("away"), F.min("__gap").alias("__gap"), F.countDistinct("fixture_id").alias("__n"))
+    checkpoint_dir(games.sparkSession)
+    return found.where("__gap is not null or __n = 1").drop("__gap", "__n").checkpoint()
 
 
 def understat_appearances(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "understat_player_match_stats", "understat_player_id", "player_name", "team", "understat_match_id", "date", "side", "minutes", "goals", "assists")
+    rows = table(spark, root, "understat_player_match_stats", "understat_player_id", "player_name", "team", "understat_match_id", "date", "feed", "side", "minutes", "goals", "assists")
     rows = rows.withColumnsRenamed({"understat_player_id": "id", "player_name": "name", "understat_match_id": "game"})
     # the club of a side is the one most of its players have; a transferred player's row names two
     home, single = F.col("side") == "h", ~F.col("team").contains(",")
-    games = rows.groupBy("game").agg(F.mode(F.when(home & single, F.col("team")), True).alias("h"), F.mode(F.when(~home & single, F.col("team")), True).alias("a"), F.mode(iso_day(F.col("date")), True).alias("day"))
+    dated = with_day(rows.select("game", "team", "side", "date", "feed"), table(spark, root, "feed_zones"), "date", False)
+    games = dated.groupBy("game").agg(F.mode(F.when(home & single, F.col("team")), True).alias("h"), F.mode(F.when(~home & single, F.col("team")), True).alias("a"), F.mode("day", True).alias("day"))
     games = games.select("game", club_key(F.col("h")).alias("home"), club_key(F.col("a")).alias("away"), "day")
     mapped = _with_fixture(games, fixtures(spark, root)).select("game", "fixture_id")
-    return rows.select("id", "name", "game", home.alias("side_home"), "minutes", "goals", "assists").join(mapped, "game").withColumn("event", F.concat_ws("/", "fixture_id", "side_home"))
+    one = rows.select("id", "name", "game", home.alias("side_home"), "minutes", "goals", "assists")
+    return small_lookup(one, mapped, ["game"]).withColumn("event", F.concat_ws("/", "fixture_id", "side_home"))
 
 
 def fbref_appearances(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "fbref_player_match_summary", "fbref_id", "player", "game_id", "game", "team", "min", "Performance_Gls", "Performance_CrdY")
+    rows = table(spark, root, "fbref_player_match_summary", "fbref_id", "player", "game_id", "game", "feed", "team", "min", "Performance_Gls", "Performance_CrdY")
     # a game's rows have few different texts, which are counted before they are taken apart
-    texts = rows.groupBy(F.col("game_id").alias("id"), "game").agg(F.count("*").alias("n"))
+    texts = with_day(rows.groupBy(F.col("game_id").alias("id"), "game", "feed").agg(F.count("*").alias("n")), table(spark, root, "feed_zones"), "game", True)
     tail = F.element_at(F.split("game", "[0-9]"), -1)
     title = F.regexp_replace(tail, r"^(?:\s*\[[^\]]*\]|Z|\s*[AP]M(?=\s)|\s*(?:GMT|UTC|BST|WES?T|CES?T|E[SD]T|C[SD]T|BRT|IST|AE[SD]T)(?=\s))?\s*", "")
-    cut = texts.select("id", "n", iso_day(F.col("game")).alias("day"), F.explode(F.array(F.split(title, r"\s+v\s+|\s*[–—-]\s*"))).alias("clubs"))
+    cut = texts.select("id", "n", "day", F.explode(F.array(F.split(title, r"\s+v\s+|\s*[–—-]\s*"))).alias("clubs"))
     most = lambda c: F.max_by(c, F.struct(F.col("n"), c))
     games = cut.groupBy("id", "clubs", "day").agg(F.sum("n").alias("n")).groupBy("id").agg(most(F.col("clubs")).alias("clubs"), F.max_by("day", F.when(F.col("day").isNotNull(), F.struct("n", "day"))).alias("day"))
     games = games.select(F.col("id").alias("game"), club_key(F.get("clubs", F.lit(0))).alias("home"), club_key(F.get("clubs", F.lit(1))).alias("away"), "day")
     one = rows.select(F.col("fbref_id").alias("id"), F.col("player").alias("name"), F.col("game_id").alias("game"), "team", F.col("min").alias("minutes"), F.col("Performance_Gls").alias("goals"), F.col("Performance_CrdY").alias("yellow_cards"))
-    both = one.join(_with_fixture(games, fixtures(spark, root)), "game").select("*", F.explode(F.array(club_key(F.col("team")))).alias("club"))
+    both = small_lookup(one, _with_fixture(games, fixtures(spark, root)), ["game"]).select("*", F.explode(F.array(club_key(F.col("team")))).alias("club"))
     side = F.when(F.col("club") == F.col("home"), True).when(F.col("club") == F.col("away"), False)
     return both.withColumn("event", F.when(side.isNotNull(), F.concat_ws("/", "fixture_id", side))).drop("home", "away", "club", "team")
 

@@ -69,18 +69,6 @@ def test_blocking_finds_nearly_all_true_pairs(spark):
     assert len(pairs) < 64 * 30  # and far from all
 
 
-def test_a_hot_band_is_split_by_names(spark, monkeypatch):
-    """Hundreds who share one event and all its details: those of one name still meet, all pairs do not."""
-    r = random.Random(6)
-    names = [" ".join("".join(r.choice("aeiourtplkmnsvdg") for _ in range(8)) for _ in range(2)) for _ in range(150)]
-    rows = [(f"{k}", n, "1", 90, 0, 0) for k, n in enumerate(names)]
-    a = M.profiles(spark.createDataFrame(rows, COLUMNS), "who", "name", "match", ["minutes"], [])
-    monkeypatch.setattr(M, "HOT_PAIRS", 1000)
-    pairs = {(r["left_id"], r["right_id"]) for r in M.candidates(a, a).collect()}
-    assert all((f"{k}", f"{k}") in pairs for k in range(len(names)))
-    assert len(pairs) < len(names) ** 2 / 2.5
-
-
 def test_a_hot_event_loses_no_pair(spark, monkeypatch):
     """Names missing or spelt quite differently in an event that all share: minutes alone bring the pairs together."""
     left = [(f"p{k}", GIVEN[k % 8], "1", k + 1, 0, 0) for k in range(40)]
@@ -100,7 +88,38 @@ def test_candidates_are_the_same_at_every_size(spark, monkeypatch):
     for hot, part in ((10**9, 100), (50, 7)):
         monkeypatch.setattr(M, "HOT_PAIRS", hot)
         monkeypatch.setattr(M, "PART", part)
-        pairs = [tuple(x) for x in M.every_candidate(a, b).collect()]
+        pairs = [tuple(x) for x in M.candidates(a, b).collect()]
         assert len(pairs) == len(set(pairs))
         found.append(set(pairs))
     assert found[0] == found[1] and len(found[0]) > 500
+
+
+def test_recall_and_confidence_in_a_crowd(spark, monkeypatch):
+    """One event that all share, unlike spellings, and parts as small as can be: recall of candidates and of matches, Brier score."""
+    left, right, hints = sources(128, 12)
+    left += [(f"p{k}", f"{GIVEN[k % 8]} {LAST[k // 8 % 8]}", "crowd", 90, 0, 0) for k in range(128)]
+    names = {r[0]: r[1] for r in right}
+    right += [(f"x{k}", names[f"x{k}"] if k % 3 else None, "crowd", 90 - k % 2, 0, 0) for k in range(128)]
+    a = M.profiles(spark.createDataFrame(left, COLUMNS), "who", "name", "match", ["minutes"], ["goals", "assists"])
+    b = M.profiles(spark.createDataFrame(right, COLUMNS), "who", "name", "match", ["minutes"], ["goals"])
+    hinted = spark.createDataFrame(hints, "left_id string, hinted string")
+    truth = {(f"p{k}", f"x{k}") for k in range(128)}
+    plain = {(r["left_id"], r["right_id"]): r["probability"] for r in M.match(a, b, hinted, least=0.0).collect()}
+    monkeypatch.setattr(M, "HOT_PAIRS", 50)
+    monkeypatch.setattr(M, "PART", 10)
+    assert len(truth & {tuple(r) for r in M.candidates(a, b).collect()}) >= 127
+    crowded = {(r["left_id"], r["right_id"]): r["probability"] for r in M.match(a, b, hinted, least=0.0).collect()}
+    assert crowded.keys() == plain.keys() and all(abs(crowded[x] - plain[x]) < 1e-6 for x in plain)
+    assert len(truth & plain.keys()) >= 0.99 * 128  # the best partner is the right one
+    kept = {x for x, p in plain.items() if p >= 0.5}
+    assert len(truth & kept) >= 0.95 * 128 and not kept - truth  # a tenth of the labels are wrong, so some confidence is low
+    assert sum((p - (x in truth)) ** 2 for x, p in plain.items()) / len(plain) < 0.05
+
+
+def test_dates_in_any_form(spark):
+    from tessara.llm.queries import with_day
+
+    zones = spark.createDataFrame([("uk", "Europe/London", "dmy"), ("us", "America/New_York", "mdy")], "feed string, time_zone string, date_order string")
+    texts = [(1, "uk", "2025-09-03"), (2, "uk", "03/09/2025 15:00"), (3, "us", "09/03/2025 15:00"), (4, "uk", "Wed, 3 Sep 2025 15:00 BST"), (5, None, "1756908000"), (6, None, "03/09/2025"), (7, "uk", "soon"), (8, "uk", None), (9, "uk", "2025-02-30"), (10, "uk", "3 September 2025")]
+    out = {r["k"]: str(r["day"]) for r in with_day(spark.createDataFrame(texts, "k int, feed string, t string"), zones, "t", False).collect()}
+    assert {k for k, d in out.items() if d == "2025-09-03"} == {1, 2, 3, 4, 5, 10} and {out[k] for k in (6, 7, 8, 9)} == {"None"}
