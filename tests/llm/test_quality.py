@@ -63,3 +63,36 @@ def test_junk_alone(spark):
     rows = [(k, f"x{k}-" * 40, "fr") for k in range(9)]
     out = Q.score(spark.createDataFrame(rows, "doc_id int, text string, lang string")).collect()
     assert len(out) == 9 and not any(x["prose"] for x in out)
+
+
+FOREIGN = {
+    "ru": "После перерыва хозяева забили два мяча и больше не отдавали инициативу. Тренер сказал, что команда сыграла лучше, чем неделю назад.",
+    "pl": "W drugiej połowie gospodarze zdobyli dwie bramki i nie oddali już prowadzenia. Trener powiedział, że drużyna zagrała lepiej niż tydzień temu.",
+    "ja": "後半に入ると地元のチームは二点を取り、最後まで主導権を渡さなかった。監督は先週よりも良い試合だったと話した。",
+    "pt": "Na segunda parte a equipa da casa marcou dois golos e não voltou a perder o controlo. O treinador disse que jogaram melhor do que na semana passada.",
+    "fi": "Toisella puoliajalla kotijoukkue teki kaksi maalia eikä enää luopunut johdostaan. Valmentaja sanoi, että joukkue pelasi paremmin kuin viikko sitten.",
+}
+
+
+def test_prose_in_languages_without_a_list(spark, tiny):
+    """Sentences stay prose whatever their language and label, beside the documents of the corpus; their junk does not."""
+    corpus = table(spark, tiny, "documents", "doc_id", "text", "lang")
+    rows = [(10**6 + 10 * k + j, text, label) for k, (own, text) in enumerate(FOREIGN.items()) for j, label in enumerate((own, None, "en", "xx"))]
+    junk = "#!@%$;{}[]|~" * 30 + " 1204;99182;1;77 " * 30
+    rows += [(2 * 10**6 + k, junk + text.split()[0], own) for k, (own, text) in enumerate(FOREIGN.items())]
+    out = Q.score(corpus.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string"))).where("doc_id >= 1000000").collect()
+    assert len(out) == len(rows) and {r["doc_id"] for r in out if not r["prose"]} == {r[0] for r in rows if r[0] >= 2 * 10**6}
+
+
+def test_labels_of_the_half_that_set_no_limit(spark):
+    """Documents whose id's hash is odd took no part in choosing statistics and limits."""
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    root = "/root/testdata/sf0.1"
+    if not Path(root).exists():
+        return
+    labels = table(spark, root, "doc_labels").where("label is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1)
+    out = Q.score(table(spark, root, "documents", "doc_id", "text", "lang")).join(labels, "doc_id").select("prose", "label").collect()
+    assert len(out) > 150 and sum(r["prose"] != (r["label"] == "prose") for r in out) <= 0.01 * len(out)
