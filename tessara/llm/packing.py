@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from tessara.session import ship
 
 CAPACITY, GROUP = 2048, 8192
+#: Groups are packed by at most so many tasks, several groups each if there are more.
+MOST_TASKS = 20_000
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -67,12 +69,13 @@ def fill(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 
 
 def pack(items: DataFrame, n_rows: int, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """(container, key, piece, start, size, place): where each item, or each piece of an item above capacity, went.
+    """(container, key, piece, start, <size>, place): where each item, or each piece of an item above capacity, went.
 
     ``items``: key and size; sizes of 0, below 0 or null need no place. ``n_rows``: about the number of items, which
     sets the number of groups. An item above the capacity is cut into full pieces, which are containers by themselves,
     and a rest that is packed like an item. ``piece`` counts from 0, ``start`` is the piece's offset in its item,
-    ``place`` its offset in the container. Repeated keys are separate items.
+    ``place`` its offset in the container; the piece's own size has the name of the items' size column. Repeated keys are
+    separate items.
     """
     ship(items.sparkSession)
     kind = items.schema[key].dataType.simpleString()
@@ -83,7 +86,7 @@ def pack(items: DataFrame, n_rows: int, key: str = "doc_id", size: str = "n_toke
         number = keys[0].as_py()
         table = table.sort_by([("__n", "descending"), (key, "ascending")])
         ids, sizes = table.column(key).to_pylist(), table.column("__n").to_pylist()
-        out: dict[str, list] = {c: [] for c in ("container", key, "piece", "start", "n_tokens", "place")}
+        out: dict[str, list] = {c: [] for c in ("container", key, "piece", "start", size, "place")}
 
         def put(*values) -> None:  # noqa: ANN002
             for column, value in zip(out.values(), values):
@@ -102,8 +105,10 @@ def pack(items: DataFrame, n_rows: int, key: str = "doc_id", size: str = "n_toke
             for x in held:
                 put(f"{number}:{k}", *rest[x], lengths[x], place)
                 place += lengths[x]
-        types = {"container": pa.string(), key: table.schema.field(key).type, "piece": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64(), "place": pa.int64()}
+        types = {"container": pa.string(), key: table.schema.field(key).type, "piece": pa.int64(), "start": pa.int64(), size: pa.int64(), "place": pa.int64()}
         return pa.table({c: pa.array(v, types[c]) for c, v in out.items()})
 
-    return rows.groupBy("__g").applyInArrow(run, f"container string, `{key}` {kind}, piece bigint, start bigint, n_tokens bigint, place bigint")
+    # an explicit number of partitions: small groups take long, and would be merged into one task by their bytes
+    dealt = rows.repartition(min(2 * groups, MOST_TASKS), "__g")
+    return dealt.groupBy("__g").applyInArrow(run, f"container string, `{key}` {kind}, piece bigint, start bigint, `{size}` bigint, place bigint")
 
