@@ -192,14 +192,53 @@ def figures() -> dict[str, tuple[Column, str]]:
     }
 
 
+NUMERIC = ["minutes", "us_shots", "us_goals", "us_key_passes", "us_xA", "fb_Performance_SoT", "fb_Performance_Fls", "fb_Performance_Int"]
+
+
 def p5_filled(spark: SparkSession, root: str) -> DataFrame:
     """merged_player_gameweek with the three figures filled, and how each was."""
     rows = table(spark, root, "merged_player_gameweek")
-    numeric = ["minutes", "us_shots", "us_goals", "us_key_passes", "us_xA", "fb_Performance_SoT", "fb_Performance_Fls", "fb_Performance_Int"]
-    filled = impute.fill_from_similar(rows, figures(), F.col("minutes") > 0, numeric, ["position", "was_home"], "position")
+    filled = impute.fill_from_similar(rows, figures(), F.col("minutes") > 0, NUMERIC, ["position", "was_home"], "position")
     return filled.select("row_id", "player_id", "fixture_id", *[c for f in figures() for c in (f"filled_{f}", f"method_{f}")])
 
 
+def p5_marks(spark: SparkSession, root: str) -> DataFrame:
+    """(row_id, field, is_marked, is_sound): sound is a filled value among the values known, or one kept as it was."""
+    known = table(spark, root, "merged_player_gameweek", "row_id", "minutes", "us_shots", *figures())
+    filled = p5_filled(spark, root).join(known, "row_id")
+    ends = known.where("minutes > 0").agg(*[x for f, (ok, _) in figures().items() for x in (F.min(F.when(ok, F.col(f))).alias(f"a_{f}"), F.max(F.when(ok, F.col(f))).alias(f"z_{f}"))])
+    both = filled.join(F.broadcast(ends))  # one row
+    each = [
+        F.struct(F.lit(f).alias("field"), F.col(f"method_{f}").isNotNull().cast("int").alias("is_marked"), F.coalesce(F.when(F.col(f"method_{f}").isNotNull(), F.col(f"filled_{f}").between(F.col(f"a_{f}"), F.col(f"z_{f}"))).otherwise(F.col(f"filled_{f}").eqNullSafe(F.col(f).cast("double"))), F.lit(False)).cast("int").alias("is_sound"))
+        for f in figures()
+    ]
+    return both.select("row_id", F.inline(F.array(*each)))
+
+
+def masked_errors(spark: SparkSession, root: str) -> DataFrame:
+    """(field, n, n_filled, error, plain_error): every fifth row's figures hidden and filled again, against the position's median or mode.
+
+    All rows are read and clustered; what is hidden is hidden from clusters and fills alike.
+    """
+    rows = table(spark, root, "merged_player_gameweek")
+    hidden = F.col("row_id") % 5 == 0
+    right = {f: ok & F.col(f).isNotNull() & (F.col("minutes") > 0) for f, (ok, _) in figures().items()}
+    known = rows.select("*", *[F.when(ok, F.col(f).cast("double")).alias(f"true_{f}") for f, ok in right.items()])
+    masked = known.withColumns({f: F.when(~hidden, F.col(f)) for f in figures()})
+    filled = impute.fill_from_similar(masked, figures(), F.col("minutes") > 0, NUMERIC, ["position", "was_home"], "position")
+    middle = {f: F.percentile_approx(F.when(~hidden, F.col(f"true_{f}")), 0.5, 10000) if how == "median" else F.mode(F.when(~hidden, F.col(f"true_{f}")), True) for f, (_, how) in figures().items()}
+    plain = known.groupBy(F.col("position").alias("__position")).agg(*[m.alias(f"plain_{f}") for f, m in middle.items()])
+    both = filled.where(hidden).join(plain, F.col("position") == F.col("__position"), "left")
+    each = both.agg(*[x for f in figures() for x in (F.count(f"true_{f}").alias(f"n_{f}"), F.count_if(F.col(f"true_{f}").isNotNull() & F.col(f"filled_{f}").isNotNull()).alias(f"f_{f}"), F.avg(F.abs(F.col(f"filled_{f}") - F.col(f"true_{f}"))).alias(f"e_{f}"), F.avg(F.abs(F.col(f"plain_{f}") - F.col(f"true_{f}"))).alias(f"p_{f}"))])
+    return each.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"n_{f}").alias("n"), F.col(f"f_{f}").alias("n_filled"), F.col(f"e_{f}").alias("error"), F.col(f"p_{f}").alias("plain_error")) for f in figures()])))
+
+
+def p5_masked(spark: SparkSession, root: str) -> DataFrame:
+    """Hidden figures filled again: how many, whether all were, and whether the error is no greater than the position's median or mode makes."""
+    out = masked_errors(spark, root)
+    return out.select("field", "n", (F.col("n") == F.col("n_filled")).cast("int").alias("all_filled"), (F.col("error") <= F.col("plain_error") * (1 + 1e-9)).cast("int").alias("no_worse"))
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Figures that are lacking although the player had minutes."""
     marks = F.array_compact(F.array(*[F.when(F.col(f"method_{f}").isNotNull(), F.lit(f)) for f in figures()]))
@@ -213,6 +252,15 @@ union all select row_id, 'fb_Performance_CrdY' from m where cards is null or car
 union all select row_id, 'fb_Performance_TklW' from m where tackles is null or tackles < 0 or tackles > {MOST_TACKLES} or tackles <> floor(tackles)
 """
 
+_P5_VALID = f"""
+m as (select row_id, minutes, us_shots, nullif(us_xG, 'nan'::double) as xg, nullif(fb_Performance_CrdY, 'nan'::double) as cards, nullif(fb_Performance_TklW, 'nan'::double) as tackles from merged_player_gameweek),
+v as (select *, xg between 0 and {MOST_XG} and not coalesce(xg = 0 and us_shots > 0, false) and not coalesce(xg > 0 and us_shots = 0, false) as x_ok,
+    cards between 0 and {MOST_CARDS} and cards = floor(cards) as c_ok, tackles between 0 and {MOST_TACKLES} and tackles = floor(tackles) as t_ok from m),
+f as (select row_id, minutes, 'us_xG' as field, x_ok as ok from v union all select row_id, minutes, 'fb_Performance_CrdY', c_ok from v union all select row_id, minutes, 'fb_Performance_TklW', t_ok from v)
+"""
+P5_MARKS_SQL = f"with {_P5_VALID} select row_id, field, cast(coalesce(minutes > 0, false) and not coalesce(ok, false) as int) as is_marked, 1 as is_sound from f"
+P5_MASKED_SQL = f"with {_P5_VALID} select field, count(*) filter (where ok and minutes > 0 and row_id % 5 = 0) as n, 1 as all_filled, 1 as no_worse from f group by 1"
+
 # ---------------------------------------------------------------- p6 and p7: attributes over time
 
 #: The labels of the four positions, without blanks and in lower case.
@@ -290,5 +338,5 @@ starts as (select * from (select *, lag(position) over (partition by player_id o
 select cast(player_id as bigint) as player_id, position, cast(gameweek as bigint) as valid_from_gw, cast(coalesce(lead(gameweek) over (partition by player_id order by gameweek) - 1, 0) as bigint) as valid_to_gw from starts
 """
 
-QUERIES = {"p1_found": p1_found, "p1_daily": p1_daily, "p1_season": p1_season, "p4_found": p4_found, "p4_instants": p4_instants, "p5_found": p5_found, "p5_filled": p5_filled, "p6_found": p6_found, "p6_known": p6_known, "p7_found": p7_found}
-SQL = {"p1_found": P1_FOUND_SQL, "p1_daily": P1_DAILY_SQL, "p1_season": P1_SEASON_SQL, "p4_found": P4_FOUND_SQL, "p4_instants": P4_INSTANTS_SQL, "p5_found": P5_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p6_known": P6_KNOWN_SQL, "p7_found": P7_FOUND_SQL}
+QUERIES = {"p1_found": p1_found, "p1_daily": p1_daily, "p1_season": p1_season, "p4_found": p4_found, "p4_instants": p4_instants, "p5_found": p5_found, "p5_filled": p5_filled, "p5_marks": p5_marks, "p5_masked": p5_masked, "p6_found": p6_found, "p6_known": p6_known, "p7_found": p7_found}
+SQL = {"p1_found": P1_FOUND_SQL, "p1_daily": P1_DAILY_SQL, "p1_season": P1_SEASON_SQL, "p4_found": P4_FOUND_SQL, "p4_instants": P4_INSTANTS_SQL, "p5_found": P5_FOUND_SQL, "p5_marks": P5_MARKS_SQL, "p5_masked": P5_MASKED_SQL, "p6_found": P6_FOUND_SQL, "p6_known": P6_KNOWN_SQL, "p7_found": P7_FOUND_SQL}
