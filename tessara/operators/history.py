@@ -95,22 +95,31 @@ def known_versions(snapshots: DataFrame, entity: str, period: str, recorded: str
 def as_known(events: DataFrame, entity: str, period: str, histories: dict[str, DataFrame]) -> DataFrame:
     """``events`` with a column for each attribute in ``histories``: its value as known at the event's period.
 
-    Each attribute has its own change history (``known_versions``) and its own last-known match; the attributes are put
-    back side by side as columns. Histories are joined on the entity: they have one short row each, while a hot entity's
-    events are split by AQE's skew join. An event without entity, period or earlier value gets null. Other columns stay,
-    whatever their names; columns named ``known_<attribute>`` are replaced.
+    Each attribute has its own change history (``known_versions``), which is matched by itself: the periods that an
+    entity's events ask for are gathered once, as a set no longer than the calendar, and each gets the last version that
+    began by then. What was matched is one long table (entity, period, attribute), pivoted into columns and joined back
+    to the events; no wide version of an entity is ever made. A hot entity asks for each period once, and its events are
+    split by AQE's skew join. An event without entity, period or earlier value gets null. Other columns stay, whatever
+    their names; columns named ``known_<attribute>`` are replaced.
     """
-    events = events.drop(*[f"known_{n}" for n in histories])
-    out = None
-    for name, folded in histories.items():
-        one = folded.select(F.col(entity).alias("__e"), F.col("versions").alias(f"__{name}"))
-        out = one if out is None else out.join(one, "__e", "full_outer")
-    if out is None:
+    names = {f"known_{n}": folded for n, folded in histories.items()}
+    events = events.drop(*names)
+    if not names:
         return events
-    joined = events.join(out, events[entity] == out["__e"], "left")
-
-    def known(name: str) -> Column:
-        passed = F.filter(F.col(f"__{name}"), lambda x: x["from"] <= F.col(period))
-        return F.get(passed, F.size(passed) - 1)["value"]
-
-    return joined.select(*[events[c] for c in events.columns], *[known(n).alias(f"known_{n}") for n in histories])
+    asked = events.select(F.col(entity).alias("__e"), F.col(period).cast("long").alias("__p")).where("__e is not null and __p is not null").groupBy("__e").agg(F.collect_set("__p").alias("__asked"))
+
+    def matched(name: str, folded: DataFrame) -> DataFrame:
+        def last(p: Column) -> Column:
+            passed = F.filter("__versions", lambda x: x["from"] <= p)
+            return F.struct(p.alias("__p"), F.get(passed, F.size(passed) - 1)["value"].alias(name))
+
+        own = folded.select(F.col(entity).alias("__of"), F.col("versions").alias("__versions"))
+        return asked.join(own, asked["__e"] == own["__of"]).select("__e", F.inline(F.transform("__asked", last))).where(F.col(name).isNotNull())
+
+    long = None
+    for name, folded in names.items():
+        one = matched(name, folded)
+        long = one if long is None else long.unionByName(one, allowMissingColumns=True)
+    wide = long.groupBy("__e", "__p").agg(*[F.any_value(n, True).alias(n) for n in names])
+    out = events.join(wide, (events[entity] == wide["__e"]) & (events[period].cast("long") == wide["__p"]), "left")
+    return out.select(*[events[c] for c in events.columns], *[wide[n] for n in names])
