@@ -115,6 +115,27 @@ def best_squad(items: list[Item], quota: dict[str, int], budget: int, per_team:
     return best[1]
 
 
+def starting(squad: list[Item], least: dict[str, int], most: dict[str, int], n: int = 11) -> list[Item]:
+    """The ``n`` of greatest value with at least and at most so many of each group; [] if that can't be.
+
+    First the best of each group up to its least number, then the best of all others whose group has room: as bounds of
+    groups form a matroid, no other choice is better.
+    """
+    order = sorted(squad, key=lambda x: (-x.value, x.key))
+    chosen = [x for g, k in least.items() for x in [y for y in order if y.group == g][:k]]
+    held = {g: sum(x.group == g for x in chosen) for g in most}
+    if len(chosen) > n or any(held.get(g, 0) < k for g, k in least.items()):
+        return []
+    taken = {x.key for x in chosen}
+    for x in order:
+        if len(chosen) == n:
+            break
+        if x.key not in taken and held.get(x.group, 0) < most.get(x.group, 0):
+            chosen.append(x)
+            held[x.group] += 1
+    return sorted(chosen, key=lambda x: (-x.value, x.key)) if len(chosen) == n else []
+
+
 def captains(pool: DataFrame, by: str, key: str, value: str, ceiling: str) -> DataFrame:
     """(by, captain, vice, high): best and second by value and best by ceiling, of each group."""
     first = F.struct((-F.col(value)).alias("a"), F.col(key).alias("b"))

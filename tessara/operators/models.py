@@ -6,6 +6,7 @@ expression built from them, so any number of models score in one pass and no vec
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -39,9 +40,9 @@ class Linear:
 
 
 def design(frame: DataFrame, features: list[str], target: str, weight: str | None = None) -> DataFrame:
-    """(x, y, w) with missing features as 0; rows without target are dropped."""
-    filled = frame.where(F.col(target).isNotNull()).select(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features], F.col(target).cast("double").alias("y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
-    return VectorAssembler(inputCols=features, outputCol="x").transform(filled).select("x", "y", "w")
+    """(__x, __y, __w) with missing features as 0; rows without target are dropped."""
+    filled = frame.where(F.col(target).isNotNull()).select(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features], F.col(target).cast("double").alias("__y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("__w"))
+    return VectorAssembler(inputCols=features, outputCol="__x").transform(filled).select("__x", "__y", "__w")
 
 
 def varying(frame: DataFrame, features: list[str]) -> list[str]:
@@ -84,12 +85,10 @@ def fit_glm(frame: DataFrame, target: str, features: list[str], family: str = "p
     if not features:
         w = F.col(weight).cast("double") if weight else F.lit(1.0)
         mean = frame.where(F.col(target).isNotNull()).agg((F.sum(F.col(target) * w) / F.sum(w)).alias("m")).first()["m"]
-        import math
-
         m = min(max(float(mean or 0.0), 1e-9), 1 - 1e-9 if family == "binomial" else float("inf"))
         return Linear({}, math.log(m) if link == "log" else math.log(m / (1 - m)) if link == "logit" else float(mean or 0.0), link)
     rows = design(frame, features, target, weight)
-    model = GeneralizedLinearRegression(family=family, link=link, featuresCol="x", labelCol="y", weightCol="w", maxIter=50, tol=1e-9).fit(rows)
+    model = GeneralizedLinearRegression(family=family, link=link, featuresCol="__x", labelCol="__y", weightCol="__w", maxIter=50, tol=1e-9).fit(rows)
     try:
         errors = dict(zip([*features, "intercept"], map(float, model.summary.coefficientStandardErrors)))
     except Exception:  # a singular design has none
@@ -97,14 +96,41 @@ def fit_glm(frame: DataFrame, target: str, features: list[str], family: str = "p
     return Linear(dict(zip(features, map(float, model.coefficients))), float(model.intercept), link, errors)
 
 
-def fit_lasso(frame: DataFrame, target: str, features: list[str], alpha: float = 0.1) -> Linear:
-    """The fallback of a logistic fit that does not converge: some L1 penalty."""
-    model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=alpha, elasticNetParam=1.0, maxIter=100).fit(design(frame, features, target))
+def fit_lasso(frame: DataFrame, target: str, features: list[str], alpha: float = 0.1, weight: str | None = None) -> Linear:
+    """A logistic fit with an L1 penalty: it has a solution where the unpenalised one has none."""
+    model = LogisticRegression(featuresCol="__x", labelCol="__y", weightCol="__w", regParam=alpha, elasticNetParam=1.0, maxIter=100).fit(design(frame, features, target, weight))
     return Linear(dict(zip(features, map(float, model.coefficients))), float(model.intercept), "logit")
 
 
+#: On the logit scale no event is less likely than this; a fit that says so runs away from separated data.
+RUNAWAY = 15.0
+
+
+def fit_logistic(frame: DataFrame, target: str, features: list[str], weight: str | None = None, alpha: float = 0.1, rounds: int = 50) -> tuple[Linear, bool]:
+    """(model, converged): unpenalised logistic; ``fit_lasso`` where that does not converge.
+
+    It has not converged if it used all its rounds, if a coefficient or an error is no number, or if the effect of one
+    standard deviation of a feature is beyond ``RUNAWAY`` (the classes are separated).
+    """
+    if not features:
+        return fit_glm(frame, target, features, "binomial", weight), True
+    rows = design(frame, features, target, weight)
+    try:
+        model = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="__x", labelCol="__y", weightCol="__w", maxIter=rounds, tol=1e-8).fit(rows)
+        errors = [float(x) for x in model.summary.coefficientStandardErrors]
+        numbers = [*map(float, model.coefficients), float(model.intercept)]
+        spread = frame.agg(*[F.stddev_pop(F.coalesce(F.col(f).cast("double"), F.lit(0.0))).alias(f) for f in features]).first()
+        fine = model.summary.numIterations < rounds and all(math.isfinite(x) for x in [*numbers, *errors])
+        fine = fine and all(abs(c) * (spread[f] or 0.0) < RUNAWAY for f, c in zip(features, numbers))
+    except Exception:  # a singular design is no fit either
+        fine = False
+    if not fine:
+        return fit_lasso(frame, target, features, alpha, weight), False
+    return Linear(dict(zip(features, numbers)), numbers[-1], "logit", dict(zip([*features, "intercept"], errors))), True
+
+
 def fit_ols(frame: DataFrame, target: str, features: list[str]) -> Linear:
-    model = LinearRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=0.0, solver="normal").fit(design(frame, features, target))
+    model = LinearRegression(featuresCol="__x", labelCol="__y", weightCol="__w", regParam=0.0, solver="normal").fit(design(frame, features, target))
     return Linear(dict(zip(features, map(float, model.coefficients))), float(model.intercept), "identity")
 
 
@@ -136,8 +162,8 @@ def coefficient_table(frame: DataFrame, models: dict[str, Linear]) -> DataFrame:
 
 def fit_trees(frame: DataFrame, target: str, features: list[str], kind: str = "forest", classify: bool = False, trees: int = 300, depth: int = 5, weight: str | None = None):  # noqa: ANN201
     """(model, assembler) of a random forest or of gradient boosting; importances are the model's own."""
-    assembler = VectorAssembler(inputCols=features, outputCol="x")
-    common = {"featuresCol": "x", "labelCol": "y", "weightCol": "w", "maxDepth": depth, "seed": 42}
+    assembler = VectorAssembler(inputCols=features, outputCol="__x")
+    common = {"featuresCol": "__x", "labelCol": "__y", "weightCol": "__w", "maxDepth": depth, "seed": 42}
     if kind == "forest":
         maker = RandomForestClassifier if classify else RandomForestRegressor
         learner = maker(numTrees=trees, featureSubsetStrategy="sqrt" if classify else "all", **common)
@@ -152,8 +178,8 @@ def score_trees(model, assembler, frame: DataFrame, out: str) -> DataFrame:  # n
     from pyspark.ml.functions import vector_to_array
 
     features = assembler.getInputCols()
-    filled = frame.withColumns({f"__{f}": F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features})
-    scored = model.transform(VectorAssembler(inputCols=[f"__{f}" for f in features], outputCol="x").transform(filled))
+    filled = frame.withColumns({f"__f_{f}": F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features})
+    scored = model.transform(VectorAssembler(inputCols=[f"__f_{f}" for f in features], outputCol="__x").transform(filled))
     value = vector_to_array("probability")[1] if "probability" in scored.columns else F.col("prediction")
     return scored.select(*frame.columns, value.alias(out))
 
@@ -167,9 +193,15 @@ def fit_platt(frame: DataFrame, probability: str, actual: str) -> tuple[float, f
     return float(model.coefficients[0]), float(model.intercept)
 
 
-def fit_isotonic(frame: DataFrame, probability: str, actual: str) -> tuple[list[float], list[float]]:
-    """Boundaries and values of a rising step function; interpolated between, clamped at the ends."""
-    model = IsotonicRegression(featuresCol="p", labelCol="y").fit(frame.select(F.col(probability).cast("double").alias("p"), F.col(actual).cast("double").alias("y")))
+def fit_isotonic(frame: DataFrame, probability: str, actual: str, weight: str | None = None) -> tuple[list[float], list[float]]:
+    """Boundaries and values of a rising step function over all rows; interpolated between, clamped at the ends.
+
+    Equal probabilities are summed first (their mean outcome with their weight), which changes nothing in the fit.
+    """
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    known = frame.select(F.col(probability).cast("double").alias("p"), F.col(actual).cast("double").alias("y"), w.alias("w")).dropna()
+    summed = known.groupBy("p").agg((F.sum(F.col("y") * F.col("w")) / F.sum("w")).alias("y"), F.sum("w").alias("w"))
+    model = IsotonicRegression(featuresCol="p", labelCol="y", weightCol="w").fit(summed)
     return [float(x) for x in model.boundaries], [float(x) for x in model.predictions]
 
 
@@ -182,16 +214,37 @@ def apply_isotonic(probability: Column, boundaries: list[float], values: list[fl
     return F.when(at == 0, F.lit(values[0])).when(at == len(boundaries), F.lit(values[-1])).otherwise(between)
 
 
-def cross_calibrated(frame: DataFrame, key: str, target: str, features: list[str], folds: int = 5) -> DataFrame:
-    """``frame`` with ``probability``: each fold scored by a logistic model fitted and Platt-scaled on the others."""
-    folded = frame.withColumn("__fold", F.pmod(F.xxhash64(key), F.lit(folds)))
-    out = F.lit(None).cast("double")
+def fit_cross_calibrated(train: DataFrame, key: str | list[str], target: str, features: list[str], folds: int = 5) -> list[tuple[Linear, float, float]]:
+    """For each fold a logistic model fitted on the others, and its Platt scaling fitted on that fold.
+
+    A scaling thus never sees the rows that its model was fitted on.
+    """
+    folded = train.withColumn("__fold", F.pmod(F.xxhash64(*([key] if isinstance(key, str) else key)), F.lit(folds)))
+    out = []
     for k in range(folds):
-        rest = folded.where(F.col("__fold") != k)
-        model = fit_glm(rest, target, varying(rest, features), "binomial")
-        a, b = fit_platt(rest.withColumn("__p", model.score()), "__p", target)
-        out = F.when(F.col("__fold") == k, N.platt(model.score(), a, b)).otherwise(out)
-    return folded.withColumn("probability", out).drop("__fold")
+        rest, held = folded.where(F.col("__fold") != k), folded.where(F.col("__fold") == k)
+        model, _ = fit_logistic(rest, target, varying(rest, features))
+        out.append((model, *fit_platt(held.withColumn("__p", model.score()), "__p", target)))
+    return out
+
+
+def score_cross_calibrated(fitted: list[tuple[Linear, float, float]]) -> Column:
+    """The mean of the folds' calibrated probabilities."""
+    return reduce(lambda a, b: a + b, [N.platt(model.score(), a, b) for model, a, b in fitted]) / len(fitted)
+
+
+def sign_label(coefficient: Column, expected: Column) -> Column:
+    """Whether a coefficient has the sign that its feature ought to have: as expected, reversed, or none at all."""
+    return F.when(F.abs(coefficient) < 1e-9, "none").when(F.signum(coefficient) == F.signum(expected), "as expected").otherwise("reversed")
+
+
+def probe(model: Linear, frame: DataFrame) -> dict[str, float]:
+    """(best, worst) predictions at the most and the least favourable values observed of every feature."""
+    row = frame.agg(*[x for f in model.weights for x in (F.min(F.col(f).cast("double")).alias(f"a_{f}"), F.max(F.col(f).cast("double")).alias(f"z_{f}"))]).first()
+    link = {"log": math.exp, "logit": lambda x: 1 / (1 + math.exp(-x)), "identity": float}[model.link]
+    best = model.intercept + sum(w * (row[f"z_{f}"] if w > 0 else row[f"a_{f}"]) for f, w in model.weights.items())
+    worst = model.intercept + sum(w * (row[f"a_{f}"] if w > 0 else row[f"z_{f}"]) for f, w in model.weights.items())
+    return {"best": link(best), "worst": link(worst)}
 
 
 def tournament(test: DataFrame, actual: str, scores: dict[str, Column]) -> DataFrame:
@@ -201,6 +254,11 @@ def tournament(test: DataFrame, actual: str, scores: dict[str, Column]) -> DataF
     return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("version"), F.col(f"m_{n}").alias("mae"), F.col(f"b_{n}").alias("brier"), F.col("n").alias("n")) for n in scores]))).orderBy("brier", "version")
 
 
+def replaced(total: Column, old: Column, new: Column) -> Column:
+    """A stored total with one of its parts exchanged."""
+    return total - F.coalesce(old, F.lit(0.0)) + F.coalesce(new, F.lit(0.0))
+
+
 def points_mix(components: dict[str, tuple[Column, float, Column]]) -> dict[str, Column]:
     """Expected points by component: (expectation, weight, gate) -> expectation * weight * gate, and their sum."""
     parts = {f"pts_{n}": F.coalesce(value, F.lit(0.0)) * weight * F.coalesce(gate, F.lit(0.0)) for n, (value, weight, gate) in components.items()}

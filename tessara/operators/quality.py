@@ -49,6 +49,20 @@ def first_row_leaks(frame: DataFrame, entity: str, order: list[str], features: l
     return one.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("n")) for f in features])))
 
 
+def rebuilt(frame: DataFrame, entity: str, order: list[str], value: str, stored: str) -> DataFrame:
+    """``frame`` with ``true_before`` and ``agrees``: the sum of a value over an entity's rows before, against a stored one."""
+    before = F.coalesce(F.sum(value).over(Window.partitionBy(entity).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return frame.withColumn("true_before", before).withColumn("agrees", F.col("true_before").eqNullSafe(F.col(stored)))
+
+
+def spread(frame: DataFrame, entity: str, features: list[str]) -> DataFrame:
+    """(feature, n, least, most, entities, constant): the range of each feature, and entities in which it never changes."""
+    each = frame.groupBy(entity).agg(*[x for f in features for x in (F.count(f).alias(f"n_{f}"), F.min(f).alias(f"a_{f}"), F.max(f).alias(f"z_{f}"))])
+    known = lambda f: F.col(f"n_{f}") > 1
+    one = each.agg(*[x for f in features for x in (F.sum(f"n_{f}").alias(f"n_{f}"), F.min(f"a_{f}").alias(f"a_{f}"), F.max(f"z_{f}").alias(f"z_{f}"), F.count_if(known(f)).alias(f"e_{f}"), F.count_if(known(f) & (F.col(f"a_{f}") == F.col(f"z_{f}"))).alias(f"c_{f}"))])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"n_{f}").alias("n"), F.col(f"a_{f}").cast("double").alias("least"), F.col(f"z_{f}").cast("double").alias("most"), F.col(f"e_{f}").alias("entities"), F.col(f"c_{f}").alias("constant")) for f in features])))
+
+
 def drift(current: dict[str, float | None], baseline: dict[str, float | None], relative: dict[str, float], absolute: dict[str, float]) -> list[str]:
     """Names of metrics that moved too far from a stored baseline; a missing metric is an alarm."""
     out = []

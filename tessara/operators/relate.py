@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 def mirror(frame: DataFrame, key: list[str], side: str, values: list[str], prefix: str = "opp_") -> DataFrame:
     """``frame`` (one row for each key and side) with the other side's values; null where it has none.
 
-    Both sides meet in one aggregate window over the key instead of a self-join: a key has two rows.
+    Both sides meet in one aggregate window over the key instead of a self-join: a key has two rows. Rows with a null in
+    the key or without side have no other side; of several rows of the other side the least values count.
     """
     w = Window.partitionBy(*key)
-    sides = F.collect_list(F.struct(F.col(side).alias("s"), *values)).over(w)
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*key, side]])
+    sides = F.collect_list(F.when(known, F.struct(F.col(side).alias("s"), *values))).over(w)
     picked = F.filter("__sides", lambda x: x["s"] != F.col(side))
-    out = frame.withColumn("__sides", sides).withColumn("__other", F.get(picked, F.lit(0)))
+    out = frame.withColumn("__sides", sides).withColumn("__other", F.when(known, F.array_min(picked)))
     return out.select(*frame.columns, *[F.col(f"__other.{v}").alias(f"{prefix}{v}") for v in values])
 
 
@@ -41,17 +43,18 @@ def expand_sides(frame: DataFrame, sides: dict[str, dict[str, str]], label: str)
     return frame.select(*keep, F.explode(F.array(*structs)).alias("__x")).select(*keep, "__x.*")
 
 
-def snapshot_diff(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
+def snapshot_diff(old: DataFrame, new: DataFrame, key: str | list[str], columns: list[str]) -> DataFrame:
     """(key, change, column, before, after): keys that came or went, and columns that changed. Values as strings."""
-    a = old.select(key, *[F.col(c).cast("string").alias(f"__a_{c}") for c in columns])
-    b = new.select(key, *[F.col(c).cast("string").alias(f"__b_{c}") for c in columns])
-    both = outer_with_indicator(a, b, [key])
+    key = [key] if isinstance(key, str) else key
+    a = old.select(*key, *[F.col(c).cast("string").alias(f"__a_{c}") for c in columns])
+    b = new.select(*key, *[F.col(c).cast("string").alias(f"__b_{c}") for c in columns])
+    both = outer_with_indicator(a, b, key)
     none = F.lit(None).cast("string")
     record = lambda change, column, x, y: F.struct(F.lit(change).alias("change"), F.lit(column).alias("column"), x.alias("before"), y.alias("after"))
     changed = [F.when((F.col("found_in") == "both") & ~F.col(f"__a_{c}").eqNullSafe(F.col(f"__b_{c}")), record("changed", c, F.col(f"__a_{c}"), F.col(f"__b_{c}"))) for c in columns]
     came = F.when(F.col("found_in") == "right", record("new", "", none, none))
     went = F.when(F.col("found_in") == "left", record("gone", "", none, none))
-    return both.select(key, F.explode(F.array_compact(F.array(came, went, *changed))).alias("x")).select(key, "x.*")
+    return both.select(*key, F.explode(F.array_compact(F.array(came, went, *changed))).alias("x")).select(*key, "x.*")
 
 
 def first_write_wins(history: DataFrame, update: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -87,32 +90,41 @@ def top_k_below(asked: DataFrame, offered: DataFrame, group: str, limit: str, pr
     """``asked`` with ``best``: of the offers of the group at no higher price than the limit the ``k`` of greatest value.
 
     ``best`` is an array of (value, price, item) in falling order, empty if there are none; ties go to the lower price,
-    then to the lower item. The price axis is cut into blocks of ``width``: the k best of all blocks below come from
-    prefix tops of the blocks, and only the asked row's own block is searched offer by offer. So no pairs within a
-    group are emitted, and no group goes to one task.
+    then to the lower item. Of each group and price only the k best offers are kept, before anything is exchanged. The
+    price axis is cut into blocks of ``width``: a fold over a block's prices gives the k best up to each of them, a fold
+    over a group's blocks the k best before each. An asked row looks up its block. So no pairs are emitted, and what is
+    gathered for a block or a group grows with the range of prices, not with the offers.
     """
-    rank = [F.col(value).desc(), F.col(price).asc(), F.col(item).asc()]
-    offers = offered.select(F.col(group).alias("g"), F.col(price).alias(price), F.col(value).alias(value), F.col(item).alias(item)).where(F.col("g").isNotNull() & F.col(price).isNotNull() & F.col(value).isNotNull())
-    offers = offers.withColumn("b", F.floor(F.col(price) / width).cast("long"))
-    # the order of a struct is that of its fields: greatest value, lowest price, lowest item first
-    key = F.struct((-F.col(value)).alias("v"), F.col(price).alias("p"), F.col(item).alias("i"))
-    tops = offers.withColumn("n", F.row_number().over(Window.partitionBy("g", "b").orderBy(*rank))).where(F.col("n") <= k).groupBy("g", "b").agg(F.collect_list(key).alias("top"))
-    before = F.slice(F.array_sort(F.flatten(F.collect_list("top").over(Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)))), 1, k)
-    blocks = tops.select("g", "b", before.alias("before"), (F.lead("b").over(Window.partitionBy("g").orderBy("b"))).alias("next"), F.slice(F.array_sort(F.flatten(F.collect_list("top").over(Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)))), 1, k).alias("upto"))
-    # a block without offers takes what the last one before it has
-    filled = blocks.select("g", F.explode(F.sequence("b", F.coalesce(F.col("next") - 1, F.col("b")))).alias("b"), F.col("b").alias("own"), "before", "upto", F.col("next").isNull().alias("last"))
-    head = filled.select("g", "b", F.when(F.col("b") == F.col("own"), F.col("before")).otherwise(F.col("upto")).alias("top"))
-    final = blocks.where("next is null").select("g", F.col("b").alias("last_b"), F.col("upto").alias("all"))
-    rows = asked.withColumn("__row", F.monotonically_increasing_id()).withColumn("__b", F.floor(F.col(limit) / width).cast("long"))
-    with_head = rows.join(head.select(F.col("g").alias("__hg"), F.col("b").alias("__hb"), F.col("top").alias("__head")), (F.col(group) == F.col("__hg")) & (F.col("__b") == F.col("__hb")), "left")
-    with_all = with_head.join(final.select(F.col("g").alias("__fg"), "last_b", F.col("all").alias("__all")), F.col(group) == F.col("__fg"), "left")
-    near = rows.select("__row", group, limit, "__b").join(offers.select(F.col("g").alias("__og"), F.col("b").alias("__ob"), price, value, item).withColumnsRenamed({price: "__price", value: "__value", item: "__item"}), (F.col(group) == F.col("__og")) & (F.col("__b") == F.col("__ob")) & (F.col("__price") <= F.col(limit)))
-    near = near.groupBy("__row").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("__value")).alias("v"), F.col("__price").alias("p"), F.col("__item").alias("i")))), 1, k).alias("__near"))
-    out = with_all.join(near.withColumnRenamed("__row", "__near_row"), F.col("__row") == F.col("__near_row"), "left")
-    none = F.array().cast(tops.schema["top"].dataType)
-    merged = F.slice(F.array_sort(F.concat(F.coalesce("__near", none), F.coalesce(F.when(F.col("__b") > F.col("last_b"), F.col("__all")).otherwise(F.col("__head")), none))), 1, k)
-    best = F.transform(merged, lambda x: F.struct((-x["v"]).alias("value"), x["p"].alias("price"), x["i"].alias("item")))
-    return out.select(*asked.columns, best.alias("best"))
+    rank = [F.col("v"), F.col("p"), F.col("i")]  # v is the negative value, so that the natural order is the wanted one
+    offers = offered.select(F.col(group).alias("g"), (-F.col(value)).alias("v"), F.col(price).alias("p"), F.col(item).alias("i")).where("g is not null and p is not null and v is not null")
+    offers = offers.withColumn("n", F.row_number().over(Window.partitionBy("g", "p").orderBy(*rank))).where(F.col("n") <= k).withColumn("b", F.floor(F.col("p") / width).cast("long"))
+    kinds = {f.name: f.dataType.simpleString() for f in offers.schema.fields}
+    top_kind = f"array<struct<v:{kinds['v']},p:{kinds['p']},i:{kinds['i']}>>"
+    best = lambda a, b: F.slice(F.array_sort(F.concat(a, b)), 1, k)
+
+    def running(sorted_rows: Column, at: str, kind: str, of: Callable[[Column], Column]) -> Column:
+        """An array of (at, top): the k best of all elements up to each."""
+        start = F.struct(F.array().cast(top_kind).alias("top"), F.array().cast(f"array<struct<at:{kind},top:{top_kind}>>").alias("out"))
+
+        def step(s: Column, x: Column) -> Column:
+            top = best(s["top"], of(x))
+            return F.struct(top.alias("top"), F.concat(s["out"], F.array(F.struct(x[at].alias("at"), top.alias("top")))).alias("out"))
+
+        return F.aggregate(sorted_rows, start, step, lambda s: s["out"])
+
+    in_block = F.array_sort(F.collect_list(F.struct("p", "v", "i")))
+    blocks = offers.groupBy("g", "b").agg(in_block.alias("x")).select("g", "b", running(F.col("x"), "p", kinds["p"], lambda x: F.array(F.struct(x["v"], x["p"], x["i"]))).alias("inside"))
+    ends = blocks.select("g", F.struct("b", F.element_at("inside", -1)["top"].alias("top")).alias("x")).groupBy("g").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    upto = ends.select("g", running(F.col("x"), "b", "bigint", lambda x: x["top"]).alias("upto"))
+    rows = asked.withColumn("__b", F.floor(F.col(limit) / width).cast("long"))
+    out = rows.join(upto.select(F.col("g").alias("__ug"), "upto"), F.col(group) == F.col("__ug"), "left")
+    before = F.filter("upto", lambda x: x["at"] < F.col("__b"))
+    out = out.withColumn("__before", F.get(before, F.size(before) - 1)["top"]).drop("upto", "__ug")
+    out = out.join(blocks.select(F.col("g").alias("__bg"), F.col("b").alias("__bb"), "inside"), (F.col(group) == F.col("__bg")) & (F.col("__b") == F.col("__bb")), "left")
+    near = F.filter("inside", lambda x: x["at"] <= F.col(limit))
+    none = F.array().cast(top_kind)
+    merged = best(F.coalesce(F.col("__before"), none), F.coalesce(F.get(near, F.size(near) - 1)["top"], none))
+    return out.select(*[rows[c] for c in asked.columns], F.transform(merged, lambda x: F.struct((-x["v"]).alias("value"), x["p"].alias("price"), x["i"].alias("item"))).alias("best"))
 
 
 def coalesce_lookup(frame: DataFrame, lookup: DataFrame, on: list[str], value: str, default: Column) -> DataFrame:

@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessara.session import checkpoint_dir
+
 
 def total(value: Column) -> Column:
     """A sum that is 0 for a group without values."""
@@ -35,25 +37,53 @@ def pair_correlations(frame: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.inline(F.array(*records)))
 
 
-def average_ranks(frame: DataFrame, value: str, out: str) -> DataFrame:
-    """``frame`` with the rank of a value, ties sharing their mean rank; null values have none.
+def _counted(frame: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, __v, __n, __lo, __all): each distinct value with its count, the number of lesser ones and of all in its group.
 
-    Ranks come from counts of distinct values: prefix counts over value buckets and over the values inside each, so no
-    window spans all rows.
+    Values are counted first, then dealt to tasks by ranges of (group, value): however they are spread, a task has its
+    share of them, and no group or outlier goes to one. Counts of ranges are few rows. The ranges are cut by a
+    checkpoint, so that they are the same wherever they are read.
     """
-    counts = frame.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
-    low, high = F.min("__v").alias("lo"), F.max("__v").alias("hi")
-    spread = counts.agg(low, high)
-    width = F.greatest((F.col("hi") - F.col("lo")) / 1024, F.lit(1e-12))
-    binned = counts.join(F.broadcast(spread)).withColumn("__b", F.least(F.floor((F.col("__v") - F.col("lo")) / width), F.lit(1023)).cast("int"))
-    # 1,024 rows at most
-    before = binned.groupBy("__b").agg(F.sum("__n").alias("__m")).withColumn("__before", F.coalesce(F.sum("__m").over(Window.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.coalesce(F.sum("__n").over(Window.partitionBy("__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = binned.withColumn("__in", inside).join(F.broadcast(before.select(F.col("__b").alias("__bb"), "__before")), F.col("__b") == F.col("__bb"))
-    ranks = ranks.select("__v", (F.col("__before") + F.col("__in") + (F.col("__n") + 1) / 2).alias(out))
+    counts = frame.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    checkpoint_dir(frame.sparkSession)
+    ranged = counts.repartitionByRange(*by, "__v").withColumn("__part", F.spark_partition_id()).checkpoint()
+    # a row for each group and range
+    parts = ranged.groupBy(*by, "__part").agg(F.sum("__n").alias("__m"))
+    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__part")
+    before = F.coalesce(F.sum("__m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = parts.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__part").alias("__of"), before.alias("__before"), F.sum("__m").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__all"))
+    inside = F.coalesce(F.sum("__n").over(Window.partitionBy(*by, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    same = [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by]
+    joined = ranged.withColumn("__in", inside).join(shifts, [F.col("__part") == F.col("__of"), *same])
+    return joined.select(*by, "__v", "__n", (F.col("__before") + F.col("__in")).alias("__lo"), "__all")
+
+
+def average_ranks(frame: DataFrame, value: str, out: str) -> DataFrame:
+    """``frame`` with the rank of a value, ties sharing their mean rank; null values have none."""
+    ranks = _counted(frame, [], value).select("__v", (F.col("__lo") + (F.col("__n") + 1) / 2).alias(out))
     return frame.join(ranks, frame[value] == ranks["__v"], "left").drop("__v")
 
 
+def exact_quantiles(frame: DataFrame, by: list[str], value: str, shares: list[float], out: str = "q") -> DataFrame:
+    """(by, out): for each group an array of exact quantiles with linear interpolation; groups without values are absent.
+
+    The same numbers as an exact percentile, which would hold all distinct values of a group in one task.
+    """
+    rows = _counted(frame, by, value).withColumn("__v", F.col("__v").cast("double"))
+    ends = []
+    for k, share in enumerate(shares):
+        at = F.lit(float(share)) * (F.col("__all") - 1)
+        has = lambda i: (F.col("__lo") <= i) & (i < F.col("__lo") + F.col("__n"))
+        ends += [F.max(F.when(has(F.floor(at)), F.col("__v"))).alias(f"__a{k}"), F.max(F.when(has(F.ceil(at)), F.col("__v"))).alias(f"__z{k}")]
+    each = rows.groupBy(*by).agg(F.max("__all").alias("__all"), *ends).where("__all is not null")
+
+    def between(k: int, share: float) -> Column:
+        at = F.lit(float(share)) * (F.col("__all") - 1)
+        return F.when(F.col(f"__a{k}") == F.col(f"__z{k}"), F.col(f"__a{k}")).otherwise((F.ceil(at) - at) * F.col(f"__a{k}") + (at - F.floor(at)) * F.col(f"__z{k}"))
+
+    return each.select(*by, F.array(*[between(k, s) for k, s in enumerate(shares)]).alias(out))
+
+
 def spearman(frame: DataFrame, x: str, y: str) -> DataFrame:
     """One row: the rank correlation of two columns, over the rows where both are known."""
     known = frame.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
@@ -77,8 +107,8 @@ def fixed_bins(frame: DataFrame, probability: str, actual: str, bins: int = 10)
 
 def quantile_edges(frame: DataFrame, value: str, shares: list[float]) -> list[float]:
     """Exact quantiles with linear interpolation, as a handful of numbers."""
-    row = frame.agg(F.percentile(F.col(value), F.array(*[F.lit(s) for s in shares])).alias("q")).first()
-    return [] if row is None or row["q"] is None else [float(x) for x in row["q"]]
+    row = exact_quantiles(frame.select(value), [], value, shares).first()
+    return [] if row is None else [float(x) for x in row["q"]]
 
 
 def quantile_buckets(frame: DataFrame, value: str, n: int, out: str) -> DataFrame:
@@ -120,11 +150,14 @@ def coverage(frame: DataFrame, counters: dict[str, Column]) -> DataFrame:
 
 
 def identical_groups(frame: DataFrame, by: list[str], name: str, least: int = 2, shown: int = 3) -> DataFrame:
-    """Keys that several rows share, with their number and the first few names."""
-    w = Window.partitionBy(*by).orderBy(name)
-    ranked = frame.withColumn("__p", F.row_number().over(w))
-    kept = F.array_join(F.array_sort(F.collect_list(F.when(F.col("__p") <= shown, F.col(name)))), ",")
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), kept.alias("names")).where(F.col("n") >= least)
+    """Keys that several rows share, with their number and the first few names.
+
+    Rows are counted on the map side; of the names only the first few of each task are exchanged.
+    """
+    counts = frame.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    first = frame.where(F.col(name).isNotNull()).withColumn("__p", F.row_number().over(Window.partitionBy(*by).orderBy(name))).where(F.col("__p") <= shown)
+    names = first.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list(name)), ",").alias("names"))
+    return counts.join(names, by, "left").withColumn("names", F.coalesce("names", F.lit("")))
 
 
 def top_share(frame: DataFrame, key: str, value: str, n: int) -> DataFrame:

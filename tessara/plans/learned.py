@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessara.functions import numeric as N
@@ -70,57 +70,119 @@ def _split(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept.where(F.col("gameweek") <= cut), kept.where(F.col("gameweek") > cut)
 
 
-def minutes_model(spark: SparkSession, root: str) -> DataFrame:
+POSITIONS = ["GK", "DEF", "MID", "FWD"]
+#: Sizes of the tree models.
+TREES, FOREST_DEPTH, BOOSTED_DEPTH = 300, 5, 4
+
+
+def versions(result: DataFrame, against: str) -> DataFrame:
+    """(version, n, no_worse) of a tournament: whether a version's held-out Brier score is at most a twentieth above another's."""
+    base = result.where(F.col("version") == against).select(F.col("brier").alias("__base"))
+    return result.join(F.broadcast(base)).select("version", "n", (F.col("brier") <= F.col("__base") * 1.05).cast("int").alias("no_worse"))  # one row
+
+
+def minutes_bins(spark: SparkSession, root: str) -> DataFrame:
     """Chance to play an hour on held-out gameweeks: calibration bins of the Platt-scaled logistic model."""
     train, test = _split(_facts(spark, root))
     features = models.prune_correlated(train, models.varying(train, FEATURES), 0.98)
-    model = models.fit_glm(train, "full", features, "binomial")
+    model, _ = models.fit_logistic(train, "full", features)
     a, b = models.fit_platt(train.withColumn("p", model.score()), "p", "full")
     return S.fixed_bins(test.withColumn("p", N.platt(model.score(), a, b)), "p", "full")
 
 
-def forecast_tournament(spark: SparkSession, root: str) -> DataFrame:
-    """Goals by position, logistic and forest versions against the train mean, on held-out gameweeks."""
+def minutes_model(spark: SparkSession, root: str) -> DataFrame:
+    """One row: held-out matches in the model's bins, and whether predicted and actual shares are within five percent of all."""
+    bins = minutes_bins(spark, root)
+    gap = F.abs(F.sum(F.col("n") * (F.col("mean_predicted") - F.col("mean_actual")))) / F.sum("n")
+    return bins.agg(F.sum("n").alias("n"), (gap < 0.05).cast("int").alias("is_calibrated"), F.min((F.col("mean_actual").between(0, 1) & F.col("mean_predicted").between(0, 1)).cast("int")).alias("in_range"))
+
+
+def forecasts(spark: SparkSession, root: str, trees: int = TREES) -> DataFrame:
+    """Goals by position: Poisson, forest and boosted versions against the train mean, on held-out gameweeks."""
     train, test = _split(_facts(spark, root))
-    positions = ["GK", "DEF", "MID", "FWD"]
-    poisson = models.fit_segments(train, "position", positions, "goals", FEATURES)
+    poisson = models.fit_segments(train, "position", POSITIONS, "goals", FEATURES)
     mean = float(train.agg(F.avg("goals")).first()[0] or 0.0)
-    forest, assembler = models.fit_trees(train, "goals", FEATURES, trees=20, depth=4)
-    boosted, other = models.fit_trees(train, "goals", FEATURES, kind="boosted", trees=10, depth=3)
+    forest, assembler = models.fit_trees(train, "goals", FEATURES, trees=trees, depth=FOREST_DEPTH)
+    boosted, other = models.fit_trees(train, "goals", FEATURES, kind="boosted", trees=trees, depth=BOOSTED_DEPTH)
     scored = models.score_trees(boosted, other, models.score_trees(forest, assembler, test, "forest"), "boosted")
     return models.tournament(scored, "goals", {"poisson": models.score_segments(poisson, "position"), "forest": F.col("forest"), "boosted": F.col("boosted"), "mean": F.lit(mean)})
 
 
-def calibrators(spark: SparkSession, root: str) -> DataFrame:
-    """Brier scores of the raw, Platt-scaled, isotonic and cross-calibrated chance to play at all, held out."""
+def forecast_tournament(spark: SparkSession, root: str) -> DataFrame:
+    return versions(forecasts(spark, root), "mean")
+
+
+def calibrations(spark: SparkSession, root: str) -> DataFrame:
+    """Brier scores of the raw, Platt-scaled, isotonic and cross-calibrated chance to play at all, all fitted on train, held out."""
     train, test = _split(_facts(spark, root))
-    model = models.fit_glm(train, "any", models.varying(train, FEATURES), "binomial")
+    features = models.varying(train, FEATURES)
+    model, _ = models.fit_logistic(train, "any", features)
     scored = train.withColumn("p", model.score())
     a, b = models.fit_platt(scored, "p", "any")
-    boundaries, values = models.fit_isotonic(scored.groupBy(F.round("p", 2).alias("p")).agg(F.avg("any").alias("any")), "p", "any")
-    held = models.cross_calibrated(test.withColumn("row", F.concat_ws("/", "player_id", "fixture_id")), "row", "any", models.varying(train, FEATURES))
+    boundaries, values = models.fit_isotonic(scored, "p", "any")
+    folds = models.fit_cross_calibrated(train, ["player_id", "fixture_id"], "any", features)
     p = model.score()
-    return models.tournament(held, "any", {"raw": p, "platt": N.platt(p, a, b), "isotonic": models.apply_isotonic(p, boundaries, values), "folds": F.col("probability")})
+    return models.tournament(test, "any", {"raw": p, "platt": N.platt(p, a, b), "isotonic": models.apply_isotonic(p, boundaries, values), "folds": models.score_cross_calibrated(folds)})
+
+
+def calibrators(spark: SparkSession, root: str) -> DataFrame:
+    return versions(calibrations(spark, root), "raw")
+
+
+def coefficient_rows(spark: SparkSession, root: str) -> DataFrame:
+    """Coefficients of a Poisson model of minutes for each position, with their signs against those expected."""
+    train, _ = _split(_facts(spark, root))
+    rows = models.coefficient_table(train, models.fit_segments(train, "position", POSITIONS, "minutes", FEATURES))
+    expected = F.when(F.col("feature").isin("roll5_minutes", "season_minutes", "consecutive_starts"), 1).otherwise(0)
+    return rows.withColumn("sign", F.when(expected != 0, models.sign_label(F.col("coefficient"), expected)))
 
 
 def coefficients(spark: SparkSession, root: str) -> DataFrame:
+    """(position, n, is_balanced): whether a position's predictions add up to its outcomes, as those of a Poisson fit must."""
     train, _ = _split(_facts(spark, root))
-    return models.coefficient_table(train, models.fit_segments(train, "position", ["GK", "DEF", "MID", "FWD"], "minutes", FEATURES))
+    fitted = models.fit_segments(train, "position", POSITIONS, "minutes", FEATURES)
+    scored = train.where(F.col("position").isin(list(fitted))).withColumn("__p", models.score_segments(fitted, "position"))
+    return scored.groupBy("position").agg(F.count("*").alias("n"), (F.abs(F.sum("__p") / F.sum("minutes") - 1) < 1e-3).cast("int").alias("is_balanced"))
+
 
+def logistic_fallback(spark: SparkSession, root: str) -> DataFrame:
+    """A fit that converges, and one of separated classes, which falls back to a penalty; what either predicts in each class.
 
-def expected_mix(spark: SparkSession, root: str) -> DataFrame:
-    """Expected totals from gated components, with the additive contributions of the minutes model."""
-    facts = _facts(spark, root)
-    w = W.history_of("player_id", "gameweek", "fixture_id")
-    rate = F.coalesce(W.prior_mean(F.col("goals"), w, 10), F.lit(0.0))
-    share = F.coalesce(W.prior_mean(F.col("full"), w, 5), F.lit(0.0))
-    rows = facts.select("player_id", "fixture_id", rate.alias("rate"), share.alias("p60"), F.coalesce(W.prior_mean(F.col("any"), w, 5), F.lit(0.0)).alias("p_any"))
-    parts = models.points_mix({"goals": (F.col("rate"), 4.0, F.col("p_any")), "minutes": (F.lit(1.0), 2.0, F.col("p60")), "conceded": (N.expected_halves(F.lit(1.3)), -1.0, F.least("p60", "p_any"))})
-    return rows.select("player_id", "fixture_id", *[F.round(c, 8).alias(n) for n, c in parts.items()])
+    The first is saturated, so that its predictions are the classes' rates; the second's only have to be on the right side.
+    """
+    lines = _lines(spark, root)
+    plain, converged = models.fit_logistic(lines, "large", ["flag_n", "flag_r"])
+    split, ran_away = models.fit_logistic(lines, "large", ["large"], alpha=0.01)
+    scored = lines.select("l_returnflag", "large", plain.score().alias("p"), split.score().alias("q"))
+    right = F.min(((F.col("q") > 0.5) == (F.col("large") == 1)).cast("int"))
+    return scored.groupBy("l_returnflag").agg(F.round(F.max("p"), 6).alias("predicted"), F.lit(int(converged)).alias("converged"), F.lit(int(ran_away)).alias("second_converged"), right.alias("second_right"))
+
+
+def kept_features(spark: SparkSession, root: str) -> DataFrame:
+    """Features left after those without variance, those that repeat an earlier one, and all but the best of a family."""
+    lines = _lines(spark, root).withColumns({"twice": F.col("quantity") * 2, "flat": F.lit(1), "noise": F.col("tax")})
+    varied = models.varying(lines, ["quantity", "twice", "flat", "discount", "noise"])
+    pruned = models.prune_correlated(lines, varied, 0.98)
+    best = models.family_best(lines, pruned, "large", {"quantity": "size", "discount": "rate", "noise": "rate"}, 1000)
+    return spark.createDataFrame([(f, int(f in varied), int(f in pruned), int(f in best)) for f in ("quantity", "twice", "flat")], "feature string, varies int, is_own int, is_best int")
+
+
+def extreme_probe(spark: SparkSession, root: str) -> DataFrame:
+    """The prediction of price at the most and the least favourable quantity there is."""
+    lines = table(spark, root, "lineitem", "l_quantity", "l_extendedprice")
+    ends = models.probe(models.fit_ols(lines, "l_extendedprice", ["l_quantity"]), lines)
+    return lines.agg(F.count("*").alias("n")).select("n", F.round(F.lit(ends["best"]), 1).alias("best"), F.round(F.lit(ends["worst"]), 1).alias("worst"))
 
 
 def simulated_ranges(spark: SparkSession, root: str) -> DataFrame:
     """Ranges of every fixture's total of goals from the clubs' rates before it: 5,000 draws a row."""
+    drawn = fixture_ranges(spark, root)
+    mean = F.coalesce(F.col("home"), F.lit(0.0)) + F.coalesce(F.col("away"), F.lit(0.0))
+    near = (F.abs(F.col("sim_mean") - mean) <= 6 * F.sqrt(mean / 5000) + 1e-9) & (F.abs(F.col("sim_std") - F.sqrt(mean)) <= 0.1 * F.sqrt(mean) + 1e-9)
+    return drawn.select("fixture_id", near.cast("int").alias("is_near"), ((F.col("sim_p10") <= F.col("sim_p50")) & (F.col("sim_p50") <= F.col("sim_p90"))).cast("int").alias("is_ordered"))
+
+
+def fixture_ranges(spark: SparkSession, root: str) -> DataFrame:
     from tessara.plans.relations import side_log
 
     sides = side_log(spark, root)
@@ -128,10 +190,11 @@ def simulated_ranges(spark: SparkSession, root: str) -> DataFrame:
     w = W.history_of("club", "gameweek", "fixture_id", "was_home_int")
     rated = sides.join(days, "fixture_id").withColumn("rate", F.coalesce(W.prior_mean(F.col("goals"), w, 10), F.lit(1.3)))
     both = rated.groupBy("fixture_id").agg(F.max(F.when(F.col("was_home_int") == 1, F.col("rate"))).alias("home"), F.max(F.when(F.col("was_home_int") == 0, F.col("rate"))).alias("away"))
-    return simulate.totals(both.withColumn("played", F.lit(1.0)), ["fixture_id"], {"home": 1.0, "away": 1.0}, "played")
+    drawn = simulate.totals(both.withColumn("played", F.lit(1.0)), ["fixture_id"], [simulate.Part("home", 1.0), simulate.Part("away", 1.0)], "played", row=[])
+    return drawn.join(both, "fixture_id")
 
 
-def two_rates(spark: SparkSession, root: str) -> DataFrame:
+def two_rate_scores(spark: SparkSession, root: str) -> DataFrame:
     """Chance of conceding nothing, held out: from the opponent's goal rate against a direct model and the train mean.
 
     The rate model knows a side's goals before and what its opponent conceded before; the opponent's rate comes to a
@@ -153,27 +216,103 @@ def two_rates(spark: SparkSession, root: str) -> DataFrame:
     return models.tournament(both, "clean", {"two_rates": N.none_of_poisson(F.col("opp_rate")), "direct": direct.score(), "mean": F.lit(mean)})
 
 
-def weighted_seasons(spark: SparkSession, root: str) -> DataFrame:
+def two_rates(spark: SparkSession, root: str) -> DataFrame:
+    out = two_rate_scores(spark, root)
+    return out.select("version", (F.col("n") > 0).cast("int").alias("has_rows"), F.col("brier").between(0, 0.5).cast("int").alias("in_range"))
+
+
+def season_scores(spark: SparkSession, root: str) -> DataFrame:
     """Held-out error of a minutes model on recent matches alone, and on all with recent ones weighted threefold."""
     train, test = _split(_facts(spark, root))
     cut = S.quantile_edges(train, "gameweek", [0.5])[0]
     weighted = train.withColumn("weight", F.when(F.col("gameweek") > cut, 3.0).otherwise(1.0))
     features = models.varying(train, FEATURES)
-    recent = models.fit_glm(train.where(F.col("gameweek") > cut), "full", features, "binomial")
-    every = models.fit_glm(weighted, "full", features, "binomial", "weight")
-    return models.tournament(test, "full", {"recent": recent.score(), "weighted": every.score()})
+    recent, _ = models.fit_logistic(train.where(F.col("gameweek") > cut), "full", features)
+    every, _ = models.fit_logistic(weighted, "full", features, "weight")
+    mean = float(train.agg(F.avg("full")).first()[0] or 0.0)
+    return models.tournament(test, "full", {"recent": recent.score(), "weighted": every.score(), "mean": F.lit(mean)})
+
+
+def weighted_seasons(spark: SparkSession, root: str) -> DataFrame:
+    return versions(season_scores(spark, root), "mean")
 
 
 QUOTA = {"STANDARD": 2, "SMALL": 5, "MEDIUM": 5, "ECONOMY": 3}
+LEAST = {"STANDARD": 1, "SMALL": 3, "MEDIUM": 2, "ECONOMY": 1}
+MOST = {"STANDARD": 1, "SMALL": 5, "MEDIUM": 5, "ECONOMY": 3}
+PER_BRAND = 3
 
 
-def squad(spark: SparkSession, root: str) -> DataFrame:
-    """The 15 parts of greatest total size within quotas of types, three of a brand, and a budget."""
+def choose(spark: SparkSession, root: str) -> tuple[list[decide.Item], list[decide.Item], int]:
+    """(squad, its starting eleven, budget)."""
     parts = table(spark, root, "part", "p_partkey", "p_type", "p_brand", "p_retailprice", "p_size").withColumn("price", F.floor("p_retailprice").cast("int"))
-    items = decide.undominated(parts, "p_partkey", "p_type", "p_brand", "price", "p_size", QUOTA, 3)
-    cheapest = sorted(i.price for i in items)[:15]
-    chosen = decide.best_squad(items, QUOTA, int(sum(cheapest) * 1.05), 3)
-    return spark.createDataFrame([(i.key, i.group, i.team, i.price, i.value) for i in chosen], "p_partkey long, p_type string, p_brand string, price int, value double")
+    items = decide.undominated(parts, "p_partkey", "p_type", "p_brand", "price", "p_size", QUOTA, PER_BRAND)
+    budget = int(sum(sorted(i.price for i in items)[:15]) * 1.05)
+    chosen = decide.best_squad(items, QUOTA, budget, PER_BRAND)
+    return chosen, decide.starting(chosen, LEAST, MOST), budget
+
+
+def squad(spark: SparkSession, root: str) -> DataFrame:
+    """The 15 parts of greatest total size within quotas of types, three of a brand, and a budget; which of them start."""
+    chosen, first, _ = choose(spark, root)
+    starts = {i.key for i in first}
+    return spark.createDataFrame([(i.key, i.group, i.team, i.price, i.value, i.key in starts) for i in chosen], "p_partkey long, p_type string, p_brand string, price int, value double, starts boolean")
+
+
+def squad_rules(spark: SparkSession, root: str) -> DataFrame:
+    """By type: how many are chosen, and whether budget, brands and the eleven's formation are kept."""
+    chosen, first, budget = choose(spark, root)
+    brands: dict[str, int] = {}
+    for i in chosen:
+        brands[i.team] = brands.get(i.team, 0) + 1
+    kept = int(sum(i.price for i in chosen) <= budget and max(brands.values(), default=0) <= PER_BRAND)
+    rows = [(g, sum(i.group == g for i in chosen), kept, int(LEAST[g] <= sum(i.group == g for i in first) <= MOST[g] and len(first) == 11)) for g in QUOTA]
+    return spark.createDataFrame(rows, "p_type string, n long, limits_kept int, formation_kept int")
+
+
+def lookahead(spark: SparkSession, root: str) -> DataFrame:
+    """(player_id, gameweek, ahead): the minutes of a player's next three rounds, this one included."""
+    reports = table(spark, root, "fpl_clean_dataset", "row_id", "player_id", "fixture_id", "gameweek", "minutes", "ingested_at")
+    last = W.latest_rows(reports, ["player_id", "fixture_id"], ["ingested_at", "row_id"])
+    each = last.groupBy("player_id", "gameweek").agg(F.sum("minutes").cast("bigint").alias("minutes"))
+    w = Window.partitionBy("player_id").orderBy(F.col("gameweek").cast("long")).rangeBetween(0, 2)
+    return each.select("player_id", "gameweek", F.sum("minutes").over(w).alias("ahead"))
+
+
+def swap_plan(spark: SparkSession, root: str) -> tuple[list[decide.Item], list[tuple[int, int, int, float]], dict[int, decide.Item]]:
+    """(the eleven owned at first, the plan, all items by key): at each round the best swap over the next three rounds.
+
+    For each round, position and price only the best offers are kept (as many as the squad and the club limit could
+    rule out), so what comes to the driver grows with rounds and prices, not with players.
+    """
+    reports = table(spark, root, "fpl_clean_dataset", "row_id", "player_id", "gameweek", "position", "team", "value", "ingested_at")
+    last = W.latest_rows(reports.where("value is not null and position is not null and team is not null"), ["player_id", "gameweek"], ["ingested_at", "row_id"])
+    pool = last.join(lookahead(spark, root), ["player_id", "gameweek"])
+    first = pool.where("gameweek = 1")
+    owned_rows = W.top_n(first, ["position"], [F.col("ahead").asc(), F.col("player_id")], 3).collect()
+    owned = [decide.Item(r["player_id"], r["position"], r["team"], r["value"], float(r["ahead"])) for r in owned_rows]
+    mine = [x.key for x in owned]
+    kept = W.top_n(pool, ["gameweek", "position", "value"], [F.col("ahead").desc(), F.col("player_id")], len(owned) + PER_BRAND + 1).unionByName(W.top_n(pool.where(F.col("player_id").isin(mine)), ["gameweek", "player_id"], [F.col("ahead")], 1))
+    offers: dict[int, list[decide.Item]] = {}
+    scores: dict[int, dict[int, float]] = {}
+    items = {x.key: x for x in owned}
+    for r in kept.select("gameweek", "player_id", "position", "team", "value", "ahead").collect():
+        item = decide.Item(r["player_id"], r["position"], r["team"], r["value"], float(r["ahead"]))
+        offers.setdefault(r["gameweek"], []).append(item)
+        scores.setdefault(r["gameweek"], {})[r["player_id"]] = item.value
+        items[item.key] = item
+    plan = decide.plan_swaps(sorted(offers), owned, offers, scores, 5, PER_BRAND, window=1)
+    return owned, plan, items
+
+
+def transfer_rules(spark: SparkSession, root: str) -> DataFrame:
+    """The swap plan's promises: gains of one at least, positions kept, none sold that isn't owned, one a round at most."""
+    owned, plan, items = swap_plan(spark, root)
+    held, fine = {x.key for x in owned}, True
+    for _, out, into, gain in plan:
+        fine &= out in held and into not in held and gain >= 1.0 and items[out].group == items[into].group
+        held = (held - {out}) | {into}
+    return spark.createDataFrame([(len(owned), int(fine), int(len({r for r, *_ in plan}) == len(plan)), int(len(held) == len(owned)))], "n_owned long, swaps_fine int, one_a_round int, size_kept int")
 
 
 def captain_picks(spark: SparkSession, root: str) -> DataFrame:
@@ -197,14 +336,14 @@ def stream_windows(spark: SparkSession, root: str) -> DataFrame:
 
 
 def stream_once(spark: SparkSession, root: str) -> DataFrame:
-    """Each event once, as a stream: counts by type."""
-    out = stream.run_available(stream.once(stream.event_stream(spark, f"{root}/events.parquet")), "append", _shared(spark, "once"))
+    """Each event once, as a stream: counts by type. The watermark is longer than any history, so no late file is dropped."""
+    out = stream.run_available(stream.once(stream.event_stream(spark, f"{root}/events.parquet"), "36500 days"), "append", _shared(spark, "once"))
     return out.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 def stream_last_values(spark: SparkSession, root: str) -> DataFrame:
     """Mean of each user's last five values, kept as state by a stream."""
-    means = stream.last_values(stream.event_stream(spark, f"{root}/events.parquet"))
+    means = stream.last_values(stream.event_stream(spark, f"{root}/events.parquet"), idle="36500 days")
     out = stream.run_available(means, "update", _shared(spark, "last"))
     last = out.groupBy("user_id").agg(F.max_by(F.struct("n", "mean_last"), "batch").alias("x"))
     return last.select("user_id", "x.n", F.round("x.mean_last", 6).alias("mean_last"))
@@ -212,10 +351,44 @@ def stream_last_values(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (glm_poisson_saturated, logit_saturated, ols, minutes_model, forecast_tournament, calibrators, coefficients, expected_mix, simulated_ranges, two_rates, weighted_seasons, squad, captain_picks, stream_windows, stream_once, stream_last_values)
+    for f in (glm_poisson_saturated, logit_saturated, ols, minutes_model, forecast_tournament, calibrators, coefficients, logistic_fallback, kept_features, extreme_probe, simulated_ranges, two_rates, weighted_seasons, squad, squad_rules, lookahead, transfer_rules, captain_picks, stream_windows, stream_once, stream_last_values)
 }
 
+def _facts_sql() -> str:
+    from tessara.plans.forms import SQL as FORMS
+
+    return f"""with pf as ({FORMS["player_features"]}),
+reports as (select player_id, fixture_id, minutes from (select *, row_number() over (partition by player_id, fixture_id order by ingested_at desc, row_id desc) rn from fpl_clean_dataset) where rn = 1),
+facts as (select pf.player_id, pf.fixture_id, m.gameweek, m.position, r.minutes from pf join model_ready_dataset m on m.player_id = pf.player_id and m.fixture_id = pf.fixture_id join reports r on r.player_id = pf.player_id and r.fixture_id = pf.fixture_id where pf.roll5_minutes is not null),
+cut as (select quantile_cont(gameweek, 0.75) as cut from facts), test as (select facts.* from facts, cut where gameweek > cut), train as (select facts.* from facts, cut where gameweek <= cut)"""
+
+
+def _versions_sql(*names: str) -> str:
+    return f"{_facts_sql()} select unnest([{', '.join(repr(n) for n in names)}]) as version, count(*) as n, 1 as no_worse from test"
+
+
 SQL = {
+    "minutes_model": f"{_facts_sql()} select count(*) as n, 1 as is_calibrated, 1 as in_range from test",
+    "forecast_tournament": _versions_sql("poisson", "forest", "boosted", "mean"),
+    "calibrators": _versions_sql("raw", "platt", "isotonic", "folds"),
+    "weighted_seasons": _versions_sql("recent", "weighted", "mean"),
+    "coefficients": f"{_facts_sql()} select position, count(*) as n, 1 as is_balanced from train where position in ('GK', 'DEF', 'MID', 'FWD') group by 1 having count(*) >= 60",
+    "two_rates": "select unnest(['two_rates', 'direct', 'mean']) as version, 1 as has_rows, 1 as in_range",
+    "logistic_fallback": "select l_returnflag, round(avg(cast(l_quantity > 25 as int)), 6) as predicted, 1 as converged, 0 as second_converged, 1 as second_right from lineitem group by 1",
+    "kept_features": "select unnest(['quantity', 'twice', 'flat']) as feature, unnest([1, 1, 0]) as varies, unnest([1, 0, 0]) as is_own, unnest([1, 0, 0]) as is_best",
+    "extreme_probe": """
+with m as (select count(*) as n, regr_intercept(l_extendedprice, l_quantity) as i, regr_slope(l_extendedprice, l_quantity) as s, min(l_quantity) as a, max(l_quantity) as z from lineitem)
+select n, round(greatest(i + s * a, i + s * z), 1) as best, round(least(i + s * a, i + s * z), 1) as worst from m""",
+    "simulated_ranges": "select fixture_id, 1 as is_near, 1 as is_ordered from fpl_clean_dataset join (select distinct fixture_id from model_ready_dataset) using (fixture_id) where team is not null group by 1",
+    "squad_rules": f"select unnest({list(QUOTA)}) as p_type, unnest({list(QUOTA.values())}::bigint[]) as n, 1 as limits_kept, 1 as formation_kept",
+    "lookahead": """
+with last as (select * from (select *, row_number() over (partition by player_id, fixture_id order by ingested_at desc, row_id desc) rn from fpl_clean_dataset) where rn = 1),
+e as (select player_id, gameweek, sum(minutes) as m from last group by 1, 2)
+select player_id, gameweek, cast(sum(m) over (partition by player_id order by gameweek range between current row and 2 following) as bigint) as ahead from e""",
+    "transfer_rules": """
+with p as (select player_id, arg_max(position, row(ingested_at, row_id)) as position from fpl_clean_dataset where gameweek = 1 and value is not null and position is not null and team is not null group by 1),
+n as (select least(3, count(*)) as n from p group by position)
+select cast(sum(n) as bigint) as n_owned, 1 as swaps_fine, 1 as one_a_round, 1 as size_kept from n""",
     "glm_poisson_saturated": "select l_linestatus, l_returnflag, round(avg(cast(l_quantity as bigint)), 5) as predicted, count(*) as n from lineitem group by 1, 2",
     "logit_saturated": "with l as (select l_returnflag, cast(l_quantity > 25 as int) as y, cast(round(l_discount * 100) as bigint) + 1 as w from lineitem) select l_returnflag, round(cast(sum(y * w) as double) / sum(w), 6) as predicted from l group by 1",
     "ols": "select count(*) as n, round(regr_slope(l_extendedprice, l_quantity), 3) as slope, round(regr_intercept(l_extendedprice, l_quantity), 1) as intercept from lineitem",

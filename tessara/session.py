@@ -30,16 +30,22 @@ def local_session(cpus: int | None = None, app: str = "tessara", **conf: str) ->
 def checkpoint_dir(spark: SparkSession) -> None:
     """Point checkpoint() at the shared folder that the cluster names.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, a laptop) is a folder of our own used.
+    Only where ``spark.checkpoint.dir`` is unset and the session is local (tests, a laptop) is a folder of our own used;
+    it goes away with the process. On a cluster, whose executors don't share the driver's disk, that is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     shared = context.getConf().get("spark.checkpoint.dir")
     if shared is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        import atexit
+        import shutil
         import tempfile
 
         shared = tempfile.mkdtemp(prefix="tessara-checkpoint-")
+        atexit.register(shutil.rmtree, shared, True)
     context.setCheckpointDir(shared)
 
 

@@ -18,10 +18,14 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, columns
     return nan_to_null(frame.select(*columns) if columns else frame)
 
 
-def read_nested_json(spark: SparkSession, path: str, schema: str, explode: str | None = None, prefix: str = "") -> DataFrame:
-    """JSON documents; ``explode`` names an array whose elements become rows beside the document's other fields."""
-    kind = T.StructType.fromDDL(schema) if hasattr(T.StructType, "fromDDL") else T._parse_datatype_string(schema)
-    frame = spark.read.schema(T.StructType([*kind.fields, T.StructField("_corrupt_record", T.StringType())])).json(path, mode="PERMISSIVE", multiLine=True)
+def read_nested_json(spark: SparkSession, path: str, schema: str, explode: str | None = None, prefix: str = "", lines: bool = False) -> DataFrame:
+    """JSON documents; ``explode`` names an array whose elements become rows beside the document's other fields.
+
+    A file is one document, or with ``lines`` a document on each line. Documents that do not fit the schema are left out
+    here; ``corrupt_documents`` and ``corrupt_records`` give them.
+    """
+    kind = T._parse_datatype_string(schema)
+    frame = spark.read.schema(T.StructType([*kind.fields, T.StructField("_corrupt_record", T.StringType())])).json(path, mode="PERMISSIVE", multiLine=not lines)
     frame = frame.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
     if explode:
         rest = [c for c in frame.columns if c != explode]
@@ -30,12 +34,24 @@ def read_nested_json(spark: SparkSession, path: str, schema: str, explode: str |
     return frame
 
 
+def corrupt_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file, raw): the JSON documents that ``read_nested_json`` leaves out, kept as they are."""
+    texts = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
+    return _unfit(texts, schema).select("file", F.col("value").alias("raw"))
+
+
+def _unfit(texts: DataFrame, schema: str) -> DataFrame:
+    """Those of the texts in ``value`` that are empty or do not fit the schema."""
+    kind = T.StructType([*T._parse_datatype_string(schema).fields, T.StructField("_corrupt", T.StringType())])
+    parsed = F.from_json("value", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    # a generator is a border: the parser would leave out a column that only a filter reads
+    rows = texts.select("*", F.explode(F.array(parsed)).alias("x"))
+    return rows.where(F.col("x._corrupt").isNotNull() | (F.trim("value") == "")).drop("x")
+
+
 def corrupt_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """(raw): lines of a JSON-lines file that do not fit the schema, kept as they are."""
-    kind = T._parse_datatype_string(schema)
-    lines = spark.read.text(path)
-    parsed = F.from_json("value", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    return lines.where(parsed.isNull() | (F.length(F.trim("value")) == 0)).select(F.col("value").alias("raw"))
+    return _unfit(spark.read.text(path), schema).select(F.col("value").alias("raw"))
 
 
 def flatten(frame: DataFrame, separator: str = "_") -> DataFrame:

@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessara.operators.quality import run_over_run
 from tessara.operators.relate import first_write_wins
 
 
@@ -73,3 +74,23 @@ def report_page(frame: DataFrame, template: str, mark: str = "__DATA__", most: i
     if len(rows) > most:
         raise ValueError(f"a report has at most {most} rows")
     return template.replace(mark, "[" + ",".join(r["x"] for r in rows) + "]")
+
+
+def text_report(frame: DataFrame, title: str, most: int = 200) -> str:
+    """A small report as plain text: a title, a line of names and a line for each row, in columns.
+
+    More than ``most`` rows are an error, not a cut. Nulls are shown as a dash.
+    """
+    rows = frame.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report has at most {most} rows")
+    cells = [list(frame.columns)] + [["-" if x is None else f"{x:.3f}" if isinstance(x, float) else str(x) for x in r] for r in rows]
+    widths = [max(map(len, column)) for column in zip(*cells)]
+    lines = ["  ".join(x.ljust(w) for x, w in zip(line, widths)).rstrip() for line in cells]
+    return "\n".join([title, *lines]) + "\n"
+
+
+def report_run(metrics: DataFrame, path: str, run: str, names: list[str], title: str) -> str:
+    """Add a run's metrics to a stored history, whose rows are never replaced, and report all runs with their changes."""
+    append_first_wins(metrics, path, [run], names)
+    return text_report(run_over_run(metrics.sparkSession.read.parquet(path), run, names).orderBy(run), title)

@@ -36,21 +36,32 @@ def once(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def last_values(events: DataFrame, keep: int = 5) -> DataFrame:
-    """(user_id, n, mean_last): after each batch the mean of a user's last ``keep`` values, by time then id."""
+def last_values(events: DataFrame, keep: int = 5, idle: str = "90 days") -> DataFrame:
+    """(user_id, n, mean_last): after each batch the mean of a user's last ``keep`` values, by time then id.
 
+    A user's state is ``keep`` values, and is dropped when the stream has gone on for ``idle`` after the user's last
+    event, so that state doesn't grow with all users ever seen. Events later than that are dropped.
+    """
     ship(events.sparkSession)
+    kept_for = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(zip(*state.get)) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        parts = [pd.DataFrame(dict(zip(("ts", "event_id", "value"), state.get)))] if state.exists else []
         for batch in batches:
-            held += [(t.value // 1000, int(i), float(v)) for t, i, v in zip(batch["ts"], batch["event_id"], batch["value"]) if v == v]
-            held = sorted(held)[-keep:]
-        if held:
-            state.update(tuple(list(x) for x in zip(*held)))
-            yield pd.DataFrame({"user_id": [key[0]], "n": [len(held)], "mean_last": [sum(x[2] for x in held) / len(held)]})
-
-    return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, mean_last double", "ts array<long>, id array<long>, value array<double>", "update", GroupStateTimeout.NoTimeout)
+            new = batch[["ts", "event_id", "value"]].dropna(subset=["value"])
+            if len(new):
+                parts.append(new.assign(ts=new["ts"].astype("datetime64[us]").astype("int64")))
+                parts = [pd.concat(parts, ignore_index=True).sort_values(["ts", "event_id"]).tail(keep)]
+        if parts:
+            held = parts[0]
+            state.update((held["ts"].astype("int64").tolist(), held["event_id"].astype("int64").tolist(), held["value"].astype(float).tolist()))
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(held["ts"].max()) // 1000) + kept_for)
+            yield pd.DataFrame({"user_id": [key[0]], "n": [len(held)], "mean_last": [float(held["value"].mean())]})
+
+    return events.withWatermark("ts", idle).groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, mean_last double", "ts array<long>, id array<long>, value array<double>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def newly_completed(rounds: DataFrame, last: int) -> int | None:

@@ -155,11 +155,98 @@ def test_segments_pruning_and_isotonic(spark):
 
 
 def test_simulation_meets_analytic_means_and_ignores_partitioning(spark):
-    frame = spark.createDataFrame([(1, 1.5, 0.7), (2, None, 1.0), (3, 2.0, None)], "k int, rate double, on double")
-    out = {r["k"]: r for r in simulate.totals(frame, ["k"], {"rate": 4.0}, "on").collect()}
+    frame = spark.createDataFrame([(1, 1.5, 0.7), (2, None, 1.0), (3, 2.0, None)], "k int, rate double, here double")
+    draw = lambda f: {r["k"]: r for r in simulate.totals(f, ["k"], [simulate.Part("rate", 4.0)], "here").collect()}
+    out = draw(frame)
     assert abs(out[1]["sim_mean"] - 4 * 1.5 * 0.7) < 0.25 and out[2]["sim_mean"] == 0 and out[3]["sim_p90"] == 0
-    again = {r["k"]: r for r in simulate.totals(frame.repartition(3), ["k"], {"rate": 4.0}, "on").collect()}
-    assert out == again
+    assert out == draw(frame.repartition(3))
+
+
+def test_a_double_round_adds_independent_draws(spark):
+    """Two matches of one key: mean and variance are sums; gates, chances and steps have their analytic means."""
+    parts = [simulate.Part("rate", 2.0), simulate.Part("p", 3.0, "chance", "full"), simulate.Part("", 1.0, "sure"), simulate.Part("lost", -1.0, "count", "", 2)]
+    rows = [("a", m, 1.2, 0.3, 2.5, 0.8, 0.5) for m in range(2)] + [("b", 0, 1.2, 0.3, 2.5, 0.8, 0.5), ("c", 9, 0.0, 0.0, 60.0, 1.0, 1.0)]
+    frame = spark.createDataFrame(rows, "k string, m int, rate double, p double, lost double, here double, full double")
+    out = {r["k"]: r for r in simulate.totals(frame, ["k"], parts, "here", "full", ["m"], draws=40000).collect()}
+    halves = sum(math.exp(-2.5) * 2.5**k / math.factorial(k) * (k // 2) for k in range(60))
+    mean = 0.8 * (2 * 1.2 + 1) + 0.5 * 3 * 0.3 - halves
+    assert out["a"]["n_rows"] == 2 and abs(out["b"]["sim_mean"] - mean) < 0.06 and abs(out["a"]["sim_mean"] - 2 * mean) < 0.08
+    assert abs(out["a"]["sim_std"] ** 2 - 2 * out["b"]["sim_std"] ** 2) < 0.06 * out["a"]["sim_std"] ** 2
+    assert abs(out["c"]["sim_mean"] - (1 - 29.75)) < 0.2
+    again = {r["k"]: r for r in simulate.totals(frame.repartition(5), ["k"], parts, "here", "full", ["m"], draws=40000).collect()}
+    assert all(abs(out[k]["sim_mean"] - again[k]["sim_mean"]) < 1e-9 for k in out)
+
+
+def test_a_starting_eleven_equals_exhaustive_search():
+    r = random.Random(2)
+    for _ in range(20):
+        squad = [decide.Item(k, "abc"[k % 3], "x", 1, round(r.random() * 9, 1)) for k in range(9)]
+        least, most = {"a": 1, "b": 2, "c": 0}, {"a": 2, "b": 3, "c": 2}
+        best = max(sum(x.value for x in c) for c in itertools.combinations(squad, 5) if all(least[g] <= sum(x.group == g for x in c) <= most[g] for g in least))
+        assert abs(sum(x.value for x in decide.starting(squad, least, most, 5)) - best) < 1e-9
+    assert decide.starting(squad[:3], least, most, 5) == []
+
+
+def test_logistic_falls_back_where_classes_are_separated(spark):
+    frame = spark.createDataFrame([(float(k), int(k >= 20), k % 2) for k in range(40)], "x double, y int, z int")
+    model, converged = models.fit_logistic(frame, "y", ["x"], alpha=0.01)
+    assert not converged and model.weights["x"] > 0
+    assert models.fit_logistic(frame, "z", ["x"])[1]
+    ends = models.probe(models.fit_ols(frame, "x", ["y"]), frame)
+    assert abs(ends["best"] - 29.5) < 1e-6 and abs(ends["worst"] - 9.5) < 1e-6
+
+
+def test_isotonic_uses_all_rows_with_weights(spark):
+    rows = [(0.1, 0, 9.0), (0.1, 1, 1.0), (0.5, 1, 1.0), (0.5, 0, 1.0), (0.9, 1, 1.0)]
+    boundaries, values = models.fit_isotonic(spark.createDataFrame(rows, "p double, y int, w double"), "p", "y", "w")
+    assert dict(zip(boundaries, values)) == {0.1: 0.1, 0.5: 0.5, 0.9: 1.0}
+
+
+def test_exact_quantiles_with_outliers_and_groups(spark):
+    r = random.Random(3)
+    rows = [(g, r.choice([None, 1e12, -1e12, *range(20)])) for g in ("a", "b", None) for _ in range(101)] + [("none", None)]
+    rows = [(g, None if v is None else float(v)) for g, v in rows]
+    out = {x["g"]: x["q"] for x in S.exact_quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", [0.0, 0.25, 0.5, 0.9, 1.0]).collect()}
+    for g in ("a", "b", None):
+        assert np.allclose(out[g], np.quantile([v for h, v in rows if h == g and v is not None], [0.0, 0.25, 0.5, 0.9, 1.0]))
+    assert "none" not in out
+
+
+def test_corrupt_records_are_found(spark, tmp_path):
+    (tmp_path / "lines.json").write_text('{"a": 1}\n{bad json\nnot json\n{"a": "zz"}\n\n{"a": null}\n')
+    assert sorted(r["raw"] for r in files.corrupt_records(spark, str(tmp_path / "lines.json"), "a INT").collect()) == ["", "not json", '{"a": "zz"}', "{bad json"]
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    (docs / "good.json").write_text('{"a": 1, "b": [{"c": 2}]}')
+    (docs / "bad.json").write_text('{"a": 1, "b": ')
+    assert [r["a"] for r in files.read_nested_json(spark, str(docs), "a int, b array<struct<c:int>>").collect()] == [1]
+    assert [r["file"] for r in files.corrupt_documents(spark, str(docs), "a int, b array<struct<c:int>>").collect()] == ["bad.json"]
+
+
+def test_checkpoint_folder_on_a_cluster(monkeypatch):
+    from tessara import session
+
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(lambda: {})
+
+    with pytest.raises(RuntimeError, match="share"):
+        session.checkpoint_dir(type("S", (), {"sparkContext": Context})())
+
+
+def test_mirror_with_null_keys_and_repeated_sides(spark):
+    frame = spark.createDataFrame([(None, True, 1), (None, False, 2), (1, True, 5), (1, False, 3), (1, False, 2), (2, None, 7), (2, True, 8)], "f int, home boolean, v int")
+    got = sorted(((r["f"], r["home"], r["v"], r["opp_v"]) for r in relate.mirror(frame, ["f"], "home", ["v"]).collect()), key=str)
+    assert got == sorted([(None, True, 1, None), (None, False, 2, None), (1, True, 5, 2), (1, False, 3, 5), (1, False, 2, 5), (2, None, 7, None), (2, True, 8, None)], key=str)
+
+
+def test_reports(spark, tmp_path):
+    frame = spark.createDataFrame([(1, 0.5, None), (2, 1.25, "x")], "run int, mae double, note string")
+    assert sinks.text_report(frame, "Errors") == "Errors\nrun  mae    note\n1    0.500  -\n2    1.250  x\n"
+    path = str(tmp_path / "history")
+    sinks.report_run(spark.createDataFrame([(1, 2.0)], "run int, mae double"), path, "run", ["mae"], "Runs")
+    assert sinks.report_run(spark.createDataFrame([(1, 9.0), (2, 2.5)], "run int, mae double"), path, "run", ["mae"], "Runs").splitlines()[2:] == ["1    2.000  -", "2    2.500  0.500"]
 
 
 def test_best_squad_never_returns_an_unproven_choice(spark):
