@@ -160,7 +160,7 @@ def coefficient_table(frame: DataFrame, models: dict[str, Linear]) -> DataFrame:
     return out.select("segment", "feature", "coefficient", F.exp("coefficient").alias("ratio"), F.try_divide("coefficient", "error").alias("z"))
 
 
-def fit_trees(frame: DataFrame, target: str, features: list[str], kind: str = "forest", classify: bool = False, trees: int = 300, depth: int = 5, weight: str | None = None):  # noqa: ANN201
+def fit_trees(frame: DataFrame, target: str, features: list[str], kind: str = "forest", classify: bool = False, trees: int = 300, depth: int = 5, weight: str | None = None, step: float = 0.05):  # noqa: ANN201
     """(model, assembler) of a random forest or of gradient boosting; importances are the model's own."""
     assembler = VectorAssembler(inputCols=features, outputCol="__x")
     common = {"featuresCol": "__x", "labelCol": "__y", "weightCol": "__w", "maxDepth": depth, "seed": 42}
@@ -169,7 +169,7 @@ def fit_trees(frame: DataFrame, target: str, features: list[str], kind: str = "f
         learner = maker(numTrees=trees, featureSubsetStrategy="sqrt" if classify else "all", **common)
     else:
         maker = GBTClassifier if classify else GBTRegressor
-        learner = maker(maxIter=trees, stepSize=0.05, **common)
+        learner = maker(maxIter=trees, stepSize=step, **common)
     return learner.fit(design(frame, features, target, weight)), assembler
 
 
