@@ -39,23 +39,22 @@ def block_sums(facts: DataFrame, entity: str, at: str, value: str, length: int)
         .agg(F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
     )
     zero = F.lit(0).cast(daily.schema["v"].dataType)
+    kind = daily.schema["v"].dataType.simpleString()
 
-    def total(keep) -> Column:  # noqa: ANN001
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(length - 1)),
-            lambda i: F.aggregate("c", zero, lambda s, x: F.when(keep(x["p"], i), s + x["v"]).otherwise(s)),
-        )
+    def running(ordered: Column, place) -> Column:  # noqa: ANN001
+        """The sum of the elements up to each of ``length`` places: a fold over the elements, which fills the places between them."""
+        start = F.struct(F.array().cast(f"array<{kind}>").alias("out"), zero.alias("sum"))
 
+        def step(s: Column, x: Column) -> Column:
+            return F.struct(F.concat(s["out"], F.array_repeat(s["sum"], place(x["p"]) - F.size(s["out"]))).alias("out"), (s["sum"] + x["v"]).cast(kind).alias("sum"))
+
+        return F.aggregate(ordered, start, step, lambda s: F.concat(s["out"], F.array_repeat(s["sum"], F.lit(length) - F.size(s["out"]))))
+
+    rising, falling = F.array_sort("c"), F.reverse(F.array_sort("c"))
+    prefix, suffix = running(rising, lambda p: p), F.reverse(running(falling, lambda p: F.lit(length - 1) - p))
+    none = F.lit(None).cast(f"array<{kind}>")
     blocks = daily.groupBy("e", "b").agg(F.collect_list(F.struct("p", "v")).alias("c"))
-    ends = blocks.select(
-        "e",
-        F.explode(
-            F.array(
-                F.struct(F.col("b"), total(lambda p, i: p <= i).alias("prefix"), F.lit(None).cast(f"array<{daily.schema['v'].dataType.simpleString()}>").alias("before")),
-                F.struct((F.col("b") + 1).alias("b"), F.lit(None).cast(f"array<{daily.schema['v'].dataType.simpleString()}>").alias("prefix"), total(lambda p, i: p >= i).alias("before")),
-            )
-        ).alias("x"),
-    ).select("e", "x.*")
+    ends = blocks.select("e", F.explode(F.array(F.struct(F.col("b"), prefix.alias("prefix"), none.alias("before")), F.struct((F.col("b") + 1).alias("b"), none.alias("prefix"), suffix.alias("before")))).alias("x")).select("e", "x.*")
     return ends.groupBy("e", "b").agg(F.max("prefix").alias("prefix"), F.max("before").alias("before")).select(F.col("e").alias(entity), F.col("b").alias("block"), "prefix", "before")
 
 
