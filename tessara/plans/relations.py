@@ -43,7 +43,7 @@ def opponent_context(spark: SparkSession, root: str) -> DataFrame:
 
 
 def outer_indicator(spark: SparkSession, root: str) -> DataFrame:
-    customers = table(spark, root, "customer", "c_nationkey", "c_acctbal").where("c_acctbal > 9900").groupBy(F.col("c_nationkey").cast("bigint").alias("nation")).agg(F.count("*").alias("n_customers"))
+    customers = table(spark, root, "customer", "c_nationkey").groupBy(F.col("c_nationkey").cast("bigint").alias("nation")).agg(F.count("*").alias("n_customers"))
     suppliers = table(spark, root, "supplier", "s_nationkey").groupBy(F.col("s_nationkey").cast("bigint").alias("nation")).agg(F.count("*").alias("n_suppliers"))
     return R.outer_with_indicator(customers, suppliers, ["nation"])
 
@@ -74,10 +74,11 @@ def short_code_lookup(spark: SparkSession, root: str) -> DataFrame:
 
 
 def snapshot_diff(spark: SparkSession, root: str) -> DataFrame:
-    """Positions and clubs of players at gameweeks 1 and 20: who came, who went, what changed."""
-    rows = table(spark, root, "position_history", "row_id", "player_id", "gameweek", "position", "team", "recorded_at").where("gameweek in (1, 20)")
+    """Positions and clubs of players at each gameweek against the one before: who came, who went, what changed."""
+    rows = table(spark, root, "position_history", "row_id", "player_id", "gameweek", "position", "team", "recorded_at")
     last = W.latest_rows(rows, ["player_id", "gameweek"], ["recorded_at", "row_id"])
-    return R.snapshot_diff(last.where("gameweek = 1"), last.where("gameweek = 20"), "player_id", ["position", "team"])
+    out = R.snapshot_diff(last.withColumn("gameweek", F.col("gameweek") + 1), last, ["player_id", "gameweek"], ["position", "team"])
+    return out.where("gameweek between 2 and 38")  # the first has none before it, and none comes after the last
 
 
 def frozen_override(spark: SparkSession, root: str) -> DataFrame:
@@ -147,16 +148,15 @@ def union_common(spark: SparkSession, root: str) -> DataFrame:
 
 
 def blank_double(spark: SparkSession, root: str) -> DataFrame:
-    """Nations and months of the calendar without an order by a customer of the top segment, or with two and more."""
-    orders = table(spark, root, "orders", "o_custkey", "o_orderdate")
-    rich = table(spark, root, "customer", "c_custkey", "c_nationkey", "c_acctbal").where("c_acctbal > 9500")
-    months = orders.select(F.date_format("o_orderdate", "yyyy-MM").alias("month")).distinct()
-    nations = table(spark, root, "nation", "n_nationkey").select(F.col("n_nationkey").alias("nation"))
-    # a calendar: the few months there are, for each of the 25 nations
-    grid = months.withColumn("nation", F.explode(F.sequence(F.lit(0), F.lit(24)))).join(F.broadcast(nations), "nation")
-    counts = orders.join(rich, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("nation"), F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
-    out = grid.join(counts, ["nation", "month"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return out.where("n = 0 or n >= 2").select(F.col("nation").cast("bigint").alias("nation"), "month", F.col("n").cast("bigint").alias("n"), F.when(F.col("n") == 0, "blank").otherwise("double").alias("kind"))
+    """Clubs and gameweeks without a match, or with two and more: every club of every gameweek there is."""
+    sides = side_log(spark, root).select("fixture_id", F.col("club").alias("team")).where("team is not null")
+    days = table(spark, root, "model_ready_dataset", "fixture_id", "gameweek").groupBy("fixture_id").agg(F.max("gameweek").alias("gameweek"))
+    counts = sides.join(days, "fixture_id").groupBy("team", "gameweek").agg(F.count("*").alias("n"))
+    weeks = table(spark, root, "gameweeks", "gameweek").agg(F.collect_set("gameweek").alias("weeks"))
+    # a calendar: 38 gameweeks, for each club
+    grid = sides.select("team").distinct().join(F.broadcast(weeks)).select("team", F.explode("weeks").alias("gameweek"))
+    out = grid.join(counts, ["team", "gameweek"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return out.where("n = 0 or n >= 2").select("team", F.col("gameweek").cast("bigint").alias("gameweek"), F.col("n").cast("bigint").alias("n"), F.when(F.col("n") == 0, "blank").otherwise("double").alias("kind"))
 
 
 def cold_start(spark: SparkSession, root: str) -> DataFrame:
@@ -175,11 +175,11 @@ def cold_start(spark: SparkSession, root: str) -> DataFrame:
 
 
 def league_fallback(spark: SparkSession, root: str) -> DataFrame:
-    """Mean urgent order of each nation and segment; where it has none, of the segment."""
-    orders = table(spark, root, "orders", "o_custkey", "o_totalprice", "o_orderpriority").where("o_orderpriority = '1-URGENT' and o_totalprice > 480000").withColumn("c", cents("o_totalprice"))
+    """Mean urgent order of each nation and segment; where there are fewer than ten, of the segment."""
+    orders = table(spark, root, "orders", "o_custkey", "o_totalprice", "o_orderpriority").where("o_orderpriority = '1-URGENT'").withColumn("c", cents("o_totalprice"))
     customers = table(spark, root, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
     sold = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    own = sold.groupBy("c_nationkey", "c_mktsegment").agg((F.sum("c").cast("double") / F.count("*")).alias("own"))
+    own = sold.groupBy("c_nationkey", "c_mktsegment").agg((F.sum("c").cast("double") / F.count("*")).alias("own"), F.count("*").alias("__n")).where(F.col("__n") >= 10).drop("__n")
     league = sold.groupBy("c_mktsegment").agg((F.sum("c").cast("double") / F.count("*")).alias("league"))
     groups = customers.select("c_nationkey", "c_mktsegment").distinct()
     out = groups.join(own, ["c_nationkey", "c_mktsegment"], "left").join(league, "c_mktsegment", "left")
@@ -212,7 +212,7 @@ f as (select nation, month, cast(sum(c) over r3 as double) / nullif(cast(count(c
 select cast(a.nation as bigint) as nation, a.month, a.roll3 as own_roll3, a.roll5 as own_roll5, a.season as own_season, b.roll3 as opp_roll3, b.roll5 as opp_roll5, b.season as opp_season
 from f a left join f b on a.nation = (b.nation + 12) % 25 and a.month = b.month""",
     "outer_indicator": """
-with c as (select cast(c_nationkey as bigint) as nation, count(*) as n_customers from customer where c_acctbal > 9900 group by 1), s as (select cast(s_nationkey as bigint) as nation, count(*) as n_suppliers from supplier group by 1)
+with c as (select cast(c_nationkey as bigint) as nation, count(*) as n_customers from customer group by 1), s as (select cast(s_nationkey as bigint) as nation, count(*) as n_suppliers from supplier group by 1)
 select coalesce(c.nation, s.nation) as nation, n_customers, n_suppliers, case when c.nation is not null and s.nation is not null then 'both' when c.nation is not null then 'left' else 'right' end as found_in from c full join s on c.nation = s.nation""",
     "semi_anti": "select c_custkey, c_mktsegment, case when c_custkey in (select o_custkey from orders where o_orderpriority = '1-URGENT') then 'with' else 'without' end as kind from customer",
     "fixture_expand": """
@@ -220,13 +220,13 @@ with s as (select o_orderkey, o_custkey, 'home' as side, cast(o_custkey as varch
 select o_orderkey, side, own, other, c_mktsegment from s left join customer on o_custkey = c_custkey""",
     "short_code_lookup": "select s_suppkey, case when s_nationkey % 5 = 0 then '?' else upper(substr(n_name, 1, 1) || split_part(n_name, '_', -1)) end as code from supplier left join nation on s_nationkey = n_nationkey",
     "snapshot_diff": """
-with last as (select * from (select *, row_number() over (partition by player_id, gameweek order by recorded_at desc, row_id desc) rn from position_history where gameweek in (1, 20)) where rn = 1),
-a as (select * from last where gameweek = 1), b as (select * from last where gameweek = 20),
-j as (select coalesce(a.player_id, b.player_id) as player_id, a.player_id is not null as in_a, b.player_id is not null as in_b, a.position as p0, b.position as p1, a.team as t0, b.team as t1 from a full join b on a.player_id = b.player_id)
-select player_id, 'new' as change, '' as "column", null as before, null as after from j where not in_a
-union all select player_id, 'gone', '', null, null from j where not in_b
-union all select player_id, 'changed', 'position', p0, p1 from j where in_a and in_b and p0 is distinct from p1
-union all select player_id, 'changed', 'team', t0, t1 from j where in_a and in_b and t0 is distinct from t1""",
+with last as (select * from (select *, row_number() over (partition by player_id, gameweek order by recorded_at desc, row_id desc) rn from position_history) where rn = 1),
+j as (select coalesce(a.player_id, b.player_id) as player_id, coalesce(a.gameweek + 1, b.gameweek) as gameweek, a.player_id is not null as in_a, b.player_id is not null as in_b, a.position as p0, b.position as p1, a.team as t0, b.team as t1 from last a full join last b on a.player_id = b.player_id and a.gameweek + 1 = b.gameweek),
+k as (select * from j where gameweek between 2 and 38)
+select player_id, gameweek, 'new' as change, '' as "column", null as before, null as after from k where not in_a
+union all select player_id, gameweek, 'gone', '', null, null from k where not in_b
+union all select player_id, gameweek, 'changed', 'position', p0, p1 from k where in_a and in_b and p0 is distinct from p1
+union all select player_id, gameweek, 'changed', 'team', t0, t1 from k where in_a and in_b and t0 is distinct from t1""",
     "frozen_override": """
 with h as (select *, 0 as s from position_history where position is not null and gameweek <= 19 union all select *, 1 from position_history where position is not null and gameweek >= 19),
 frozen as (select player_id, gameweek, position from (select *, row_number() over (partition by player_id, gameweek order by s, recorded_at, row_id) rn from h) where rn = 1)
@@ -251,10 +251,12 @@ p as (select regexp_replace(trim(regexp_replace(regexp_replace(trim(regexp_repla
 select case club when 'kestrowick' then 'kestrowick vale' else club end as club, count(*) as n from p group by 1""",
     "union_common": "select c_name as name, cast(c_nationkey as bigint) as nation, c_acctbal as balance, cast(3.0 as double) as weight from customer union all select s_name, s_nationkey, s_acctbal, 1.0 from supplier",
     "blank_double": """
-with months as (select distinct strftime(o_orderdate, '%Y-%m') as month from orders),
-k as (select c_nationkey as nation, strftime(o_orderdate, '%Y-%m') as month, count(*) as n from orders join customer on o_custkey = c_custkey where c_acctbal > 9500 group by 1, 2),
-g as (select n_nationkey as nation, months.month, coalesce(k.n, 0) as n from nation cross join months left join k on k.nation = n_nationkey and k.month = months.month)
-select cast(nation as bigint) as nation, month, cast(n as bigint) as n, case when n = 0 then 'blank' else 'double' end as kind from g where n = 0 or n >= 2""",
+with last as (select * from (select *, row_number() over (partition by player_id, fixture_id order by ingested_at desc, row_id desc) rn from fpl_clean_dataset) where rn = 1),
+n as (select fixture_id, was_home, team, count(*) as n from last where team is not null group by all),
+labels as (select fixture_id, team from (select *, row_number() over (partition by fixture_id, was_home order by n desc, team) as place from n) where place = 1),
+d as (select fixture_id, max(gameweek) as gameweek from model_ready_dataset group by 1), k as (select team, gameweek, count(*) as n from labels join d using (fixture_id) group by 1, 2),
+g as (select team, gameweeks.gameweek, coalesce(k.n, 0) as n from (select distinct team from labels) cross join gameweeks left join k using (team, gameweek))
+select team, cast(gameweek as bigint) as gameweek, cast(n as bigint) as n, case when n = 0 then 'blank' else 'double' end as kind from g where n = 0 or n >= 2""",
     "cold_start": """
 with o as (select o_custkey, count(*) as n, sum(cast(round(o_totalprice * 100) as bigint)) as c from orders group by 1),
 b as (select c_custkey, c_mktsegment, cast(round(c_acctbal * 100) as bigint) as b, coalesce(n, 0) as n, coalesce(c, 0) as c from customer left join o on o_custkey = c_custkey),
@@ -262,8 +264,8 @@ m as (select c_mktsegment, cast(sum(b) as double) / count(*) as mean_b, cast(sum
 r as (select c_custkey, n, mean_c, cast(b as double) / nullif(mean_b, 0) as ratio from b join m using (c_mktsegment))
 select c_custkey, mean_c * greatest(0.3, least(3.0, ratio)) as prior from r where n < 3 and ratio >= 1.15""",
     "league_fallback": """
-with s as (select c_nationkey, c_mktsegment, cast(round(o_totalprice * 100) as bigint) as c from orders join customer on o_custkey = c_custkey where o_orderpriority = '1-URGENT' and o_totalprice > 480000),
-own as (select c_nationkey, c_mktsegment, cast(sum(c) as double) / count(*) as own from s group by 1, 2), league as (select c_mktsegment, cast(sum(c) as double) / count(*) as league from s group by 1),
+with s as (select c_nationkey, c_mktsegment, cast(round(o_totalprice * 100) as bigint) as c from orders join customer on o_custkey = c_custkey where o_orderpriority = '1-URGENT'),
+own as (select c_nationkey, c_mktsegment, cast(sum(c) as double) / count(*) as own from s group by 1, 2 having count(*) >= 10), league as (select c_mktsegment, cast(sum(c) as double) / count(*) as league from s group by 1),
 g as (select distinct c_nationkey, c_mktsegment from customer)
 select cast(g.c_nationkey as bigint) as c_nationkey, g.c_mktsegment, coalesce(own, league) as mean_c, cast(own is null as int) as is_fallback from g left join own on own.c_nationkey = g.c_nationkey and own.c_mktsegment = g.c_mktsegment left join league on league.c_mktsegment = g.c_mktsegment""",
 }

@@ -37,7 +37,7 @@ def _ratio(top: Column, n: Column) -> Column:
 def split_metrics(spark: SparkSession, root: str) -> DataFrame:
     """Error and bias on the last quarter of time, by segment and over all (rollup)."""
     rows = _predicted(spark, root).withColumn("day", F.datediff("o_orderdate", F.lit("1970-01-01")))
-    cut = rows.agg(F.percentile("day", F.lit(0.75)).alias("cut"))
+    cut = S.exact_quantiles(rows, [], "day", [0.75]).select(F.get("q", F.lit(0)).alias("cut"))
     test = rows.join(F.broadcast(cut)).where("day > cut")  # one row
     gap = F.col("predicted") - F.col("actual")
     out = test.rollup("c_mktsegment").agg(_ratio(F.sum(F.abs(gap)), F.count("*")).alias("mae"), _ratio(F.sum(gap), F.count("*")).alias("bias"), F.count("*").alias("n"))
@@ -50,7 +50,7 @@ def multi_split(spark: SparkSession, root: str) -> DataFrame:
     w = W.history_of("o_custkey", "o_orderdate", "o_orderkey")
     rows = orders.select(F.datediff("o_orderdate", F.lit("1970-01-01")).alias("day"), "actual", F.floor(W.prior_mean(F.col("actual"), w)).cast("bigint").alias("mean"), F.lag("actual").over(w).alias("last")).where("last is not null")
     shares = (0.55, 0.6, 0.65, 0.7, 0.75, 0.8)
-    cuts = rows.agg(F.percentile("day", F.array(*[F.lit(s) for s in shares])).alias("cuts"))
+    cuts = S.exact_quantiles(rows, [], "day", list(shares), "cuts")
     each = rows.join(F.broadcast(cuts)).select("day", "actual", "mean", "last", F.posexplode("cuts").alias("split", "cut")).where("day > cut")
     error = each.groupBy("split").agg(F.count("*").alias("n"), _ratio(F.sum(F.abs(F.col("mean") - F.col("actual"))), F.count("*")).alias("mae_mean"), _ratio(F.sum(F.abs(F.col("last") - F.col("actual"))), F.count("*")).alias("mae_last"))
     return error.select(F.col("split").cast("bigint").alias("split"), "n", "mae_mean", "mae_last", F.when(F.col("mae_mean") <= F.least("mae_mean", "mae_last"), "mean").otherwise("last").alias("winner"))
@@ -127,7 +127,7 @@ def concentration(spark: SparkSession, root: str) -> DataFrame:
 def underperformers(spark: SparkSession, root: str) -> DataFrame:
     """Customers below the 35th percentile of balances in their segment."""
     customers = table(spark, root, "customer", "c_custkey", "c_mktsegment", "c_acctbal")
-    limits = customers.groupBy("c_mktsegment").agg(F.percentile("c_acctbal", F.lit(0.35)).alias("cut"))
+    limits = S.exact_quantiles(customers, ["c_mktsegment"], "c_acctbal", [0.35]).select("c_mktsegment", F.get("q", F.lit(0)).alias("cut"))
     return customers.join(limits, "c_mktsegment").where("c_acctbal < cut").select("c_custkey", "c_mktsegment", F.round("cut", 6).alias("cut"))
 
 
@@ -150,8 +150,8 @@ def platt_apply(spark: SparkSession, root: str) -> DataFrame:
 
 
 def bonus_fallback(spark: SparkSession, root: str) -> DataFrame:
-    """Mean urgent quantity by part type where there are enough lines, else the mean of all; set where a part has none."""
-    lines = table(spark, root, "lineitem", "l_partkey", "l_quantity", "l_returnflag").where("l_returnflag = 'R' and l_quantity > 48")
+    """Mean returned quantity of each part; where a part has none, of its type if that has enough lines, else of all."""
+    lines = table(spark, root, "lineitem", "l_partkey", "l_quantity", "l_returnflag").where("l_returnflag = 'R'")
     parts = table(spark, root, "part", "p_partkey", "p_type")
     sold = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
     own = lines.groupBy(F.col("l_partkey").alias("p_partkey")).agg(_ratio(F.sum(F.col("l_quantity").cast("bigint")), F.count("*")).alias("own"))
@@ -199,8 +199,9 @@ def value_counts(spark: SparkSession, root: str) -> DataFrame:
 def describe(spark: SparkSession, root: str) -> DataFrame:
     """Number, mean, extremes and quartiles of minutes, by position."""
     rows = table(spark, root, "fpl_clean_dataset", "position", "minutes")
-    q = F.percentile("minutes", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = rows.groupBy("position").agg(F.count("minutes").alias("n"), _ratio(F.sum("minutes"), F.count("minutes")).alias("mean"), F.round(F.stddev_samp("minutes"), 6).alias("std"), F.min("minutes").cast("bigint").alias("least"), F.max("minutes").cast("bigint").alias("most"), q.alias("q"))
+    q = S.exact_quantiles(rows, ["position"], "minutes", [0.25, 0.5, 0.75]).withColumnRenamed("position", "__position")
+    out = rows.groupBy("position").agg(F.count("minutes").alias("n"), _ratio(F.sum("minutes"), F.count("minutes")).alias("mean"), F.round(F.stddev_samp("minutes"), 6).alias("std"), F.min("minutes").cast("bigint").alias("least"), F.max("minutes").cast("bigint").alias("most"))
+    out = out.join(q, F.col("position").eqNullSafe(F.col("__position")), "left")
     return out.select("position", "n", "mean", "std", "least", "most", *[F.get("q", F.lit(k)).alias(f"q{25 * (k + 1)}") for k in range(3)])
 
 
@@ -303,7 +304,7 @@ select cast(s_nationkey as bigint) as s_nationkey, count(*) as n, cast(sum(c) fi
 with l as (select distinct l_discount * 9 as p from lineitem), c as (select p, greatest(1e-6, least(1 - 1e-6, p)) as q from l)
 select round(p, 6) as p, round(1 / (1 + exp(-(ln(q / (1 - q)) * 0.8 - 0.2))), 8) as calibrated, round(greatest(0.1, least(0.5, p)), 6) as clipped from c""",
     "bonus_fallback": """
-with l as (select l_partkey, cast(l_quantity as bigint) as q from lineitem where l_returnflag = 'R' and l_quantity > 48),
+with l as (select l_partkey, cast(l_quantity as bigint) as q from lineitem where l_returnflag = 'R'),
 own as (select l_partkey, cast(sum(q) as double) / count(*) as own from l group by 1), kinds as (select p_type, count(*) as n, cast(sum(q) as double) / count(*) as kind from l join part on l_partkey = p_partkey group by 1),
 every as (select cast(sum(q) as double) / count(*) as overall from l join part on l_partkey = p_partkey)
 select part.p_partkey, coalesce(own, case when n >= 100 then kind end, overall) as bonus from part left join own on own.l_partkey = part.p_partkey left join kinds on kinds.p_type = part.p_type cross join every""",
