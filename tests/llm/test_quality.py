@@ -84,8 +84,8 @@ def test_prose_in_languages_without_a_list(spark, tiny):
     assert len(out) == len(rows) and {r["doc_id"] for r in out if not r["prose"]} == {r[0] for r in rows if r[0] >= 2 * 10**6}
 
 
-def test_labels_of_the_half_that_set_no_limit(spark):
-    """Documents whose id's hash is odd took no part in choosing statistics and limits."""
+def test_labels_of_another_scale(spark):
+    """Half of the labelled documents of tables that the limits were not looked at on."""
     from pathlib import Path
 
     from pyspark.sql import functions as F
